@@ -244,12 +244,16 @@ def feature_matrix(spark, sf_dir, anchor: str | None = "SP500", back_fill: bool
     dates = long.select("ts").distinct()
     names = F.array(*[F.lit(f) for f in FEATURES])
     grid = dates.select("ts", F.explode(names).alias("feature")).join(long, ["ts", "feature"], "left")
+    grid = grid.withColumn("_seen", F.col("value").isNotNull())
     filled = W.fill(grid, W.Layout(("feature",), ("ts",)), ["value"], back=back_fill)
-    wide = filled.groupBy("ts").pivot("feature", list(FEATURES)).agg(F.max("value"))
-    if anchor:
-        on = S.market(spark, sf_dir).filter(F.col("series") == anchor).select("ts")
-        wide = wide.join(on, "ts", "left_semi")
-    return wide.dropna(subset=list(FEATURES))
+    # plain conditional aggregates: completeness is a count, not 34 null checks that slow the optimizer down
+    wide = filled.groupBy("ts").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in FEATURES],
+        F.count("value").alias("_n"),
+        F.bool_or((F.col("feature") == (anchor or "")) & F.col("_seen")).alias("_on"),
+    )
+    keep = F.col("_n") == len(FEATURES)
+    return wide.filter(keep & F.col("_on") if anchor else keep).drop("_n", "_on")
 
 
 def training_set(matrix: DataFrame, sector: str, lookback: int | None = 1260, horizon: int = 21) -> DataFrame:

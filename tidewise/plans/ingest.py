@@ -33,7 +33,7 @@ def sector_bars_scan(spark, d):
        FROM (SELECT ts, value FROM market WHERE series = 'SP500') a
        LEFT JOIN (SELECT ts, value FROM market WHERE series = 'VIX') v ON a.ts = v.ts
        LEFT JOIN (SELECT ts, value FROM market WHERE series = 'Treasury_10Y') t ON a.ts = t.ts""",
-    r="SP500:8 VIX:8 Treasury_10Y:8",
+    r="SP500:8 VIX:8 Treasury_10Y:10",
     dates="ts",
 )
 def market_wide(spark, d):

@@ -24,8 +24,8 @@ def values(columns: str, rows, doubles: str = "") -> str:
 
 
 def shock_values(sets) -> str:
-    rows = [(n, i, f, float(c)) for i, (n, fs) in enumerate(sets.items()) for f, c in fs.items()]
-    return values("scenario, sord, factor, change", rows, "change")
+    rows = [(n, i, j, f, float(c)) for i, (n, fs) in enumerate(sets.items()) for j, (f, c) in enumerate(fs.items())]
+    return values("scenario, sord, pos, factor, change", rows, "change")
 
 
 _ETF_LIST = "[" + ", ".join(f"'{e}'" for e in K.SECTOR_ETFS) + "]"
@@ -103,6 +103,23 @@ VIEWS: dict[str, str] = {
                avg(CASE WHEN p_size <= 25 THEN p_retailprice END) AS previous_close,
                sum(p_retailprice * p_size) AS market_cap
         FROM part GROUP BY 1""",
+    "what_ifs": """
+        SELECT c_custkey AS request, CAST(c_custkey % 7 - 3 AS DOUBLE) AS rates,
+               CAST(c_nationkey % 5 - 2 AS DOUBLE) AS inflation, c_acctbal / 2500 - 2 AS gdp FROM customer""",
+    "aligned": """
+        SELECT symbol, ts, close, r FROM (
+          SELECT *, count(r) OVER (PARTITION BY ts) AS k, 5 AS n FROM (
+            SELECT symbol, ts, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM (
+              SELECT g.symbol, g.ts, last_value(b.close IGNORE NULLS) OVER (
+                       PARTITION BY g.symbol ORDER BY g.ts ROWS UNBOUNDED PRECEDING) AS close
+              FROM (SELECT symbol, ts FROM (SELECT DISTINCT ts FROM bars) CROSS JOIN (SELECT symbol FROM segment_dim)) g
+              LEFT JOIN bars b ON b.symbol = g.symbol AND b.ts = g.ts))) WHERE k = n""",
+    "preset_impacts": """
+        SELECT scenario, sord, sector, ord, sum(coef * change) AS impact FROM presets JOIN sensitivity USING (factor)
+        GROUP BY 1, 2, 3, 4""",
+    "regime_impacts": """
+        SELECT scenario, sord, sector, ord, sum(coef * change) AS impact FROM regime_shocks JOIN sensitivity USING (factor)
+        GROUP BY 1, 2, 3, 4""",
     "activities": """
         SELECT user_id, event_type AS activity_type, event_id AS activity_id, ts AS created_at,
                props AS activity_metadata, value AS amount FROM events""",

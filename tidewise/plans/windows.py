@@ -29,7 +29,7 @@ def full(agg: str, x: str, n: int, part: str = "symbol", order: str = "ts") -> s
     "moving_averages",
     "W3",
     "SELECT symbol, ts, " + ", ".join(f"{full('avg', 'close', n)} AS sma_{n}" for n in (10, 20, 50, 200)) + " FROM bars",
-    r="sma_10:3 sma_20:3 sma_50:3 sma_200:3",
+    r="sma_10:7 sma_20:7 sma_50:7 sma_200:7",
     dates="ts",
 )
 def moving_averages(spark, d):
@@ -250,14 +250,14 @@ def volume_ratio(spark, d):
     "time_split",
     "W13",
     """WITH n AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
-       SELECT symbol, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS "start", max(ts) AS "end"
+       SELECT symbol, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first_day, max(ts) AS last_day
        FROM n GROUP BY 1, 2""",
-    dates='start end',
+    dates="first_day last_day",
 )
 def time_split(spark, d):
     s = W.split_by_time(S.bars(spark, d), W.DAILY, 0.8)
     return s.groupBy("symbol", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end")
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_day"), F.max("ts").alias("last_day")
     )
 
 
@@ -630,7 +630,7 @@ def cross_section_mean(spark, d):
     """WITH s AS (SELECT ts, avg(close) AS sector FROM bars GROUP BY 1), m AS (SELECT obs_date AS ts, FEDFUNDS AS macro FROM macro_wide),
             k AS (SELECT ts, value AS vix FROM market WHERE series = 'VIX')
        SELECT coalesce(s.ts, m.ts, k.ts) AS ts, sector, macro, vix FROM s FULL JOIN m ON s.ts = m.ts FULL JOIN k ON k.ts = coalesce(s.ts, m.ts)""",
-    r="sector:3 macro vix:8",
+    r="sector:7 macro vix:8",
     dates="ts",
 )
 def outer_alignment(spark, d):
@@ -733,7 +733,7 @@ def matrix_sql(back_fill: bool = False, anchor: bool = True) -> str:
       fm AS (SELECT * FROM fw WHERE {whole})"""
 
 
-R = " ".join(f"{f}:{4 if f in ('GDP', 'SP500') else 6}" for f in X.FEATURES)
+R = " ".join(f"{f}:{10 if f in ('SP500', 'Treasury_10Y') else 7}" for f in X.FEATURES)
 
 
 @query("feature_matrix", "P14 F1 J1 J2 W11", f"WITH {matrix_sql()} SELECT * FROM fm", r=R, dates="ts")

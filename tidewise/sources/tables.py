@@ -133,11 +133,10 @@ def sensitivity(spark) -> DataFrame:
 
 
 def shocks(spark, sets: dict[str, dict[str, float]]) -> DataFrame:
-    """Scenario shocks in long form (scenario, sord, factor, change)."""
-    rows = [(n, i, f, float(c)) for i, (n, fs) in enumerate(sets.items()) for f, c in fs.items()]
-    return values_table(
-        spark, [("scenario", "string"), ("sord", "int"), ("factor", "string"), ("change", "double")], rows
-    )
+    """Scenario shocks in long form (scenario, sord, pos, factor, change)."""
+    rows = [(n, i, j, f, float(c)) for i, (n, fs) in enumerate(sets.items()) for j, (f, c) in enumerate(fs.items())]
+    cols = [("scenario", "string"), ("sord", "int"), ("pos", "int"), ("factor", "string"), ("change", "double")]
+    return values_table(spark, cols, rows)
 
 
 def brand_etf(brand):
@@ -306,3 +305,13 @@ def to_factor(spark, effects: DataFrame, source: str) -> DataFrame:
     keys = (["sector"] if "sector" in effects.columns else []) + ["factor"]
     j = effects.join(m, source)
     return j.groupBy(*keys).agg(*[F.max_by(c, "ford").alias(c) for c in (source, *keep)])
+
+
+def what_ifs(spark, sf_dir) -> DataFrame:
+    """What-if requests, one per customer: changes in percent (request, rates, inflation, gdp)."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request"),
+        (F.col("c_custkey") % 7 - 3).cast("double").alias("rates"),
+        (F.col("c_nationkey") % 5 - 2).cast("double").alias("inflation"),
+        (F.col("c_acctbal") / 2500 - 2).alias("gdp"),
+    )
