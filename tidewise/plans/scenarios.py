@@ -49,7 +49,7 @@ def sector_impacts(spark, d):
     "portfolio_impact",
     "N2 J5",
     f"WITH {run_sql()} SELECT portfolio, scenario, sum(w * impact) AS impact, avg(impact) AS equal FROM ex GROUP BY 1, 2",
-    r="impact equal",
+    r="impact:11 equal:11",
 )
 def portfolio_impact(spark, d):
     i = F.col("impact")
@@ -80,7 +80,7 @@ def worst_and_best_sectors(spark, d):
     "scenario_run",
     "N4 N8",
     f"WITH {run_sql()} SELECT * EXCLUDE (sord) FROM run",
-    r="current causal traditional vs_current vs_traditional",
+    r="current:11 causal:11 traditional:11 vs_current:9 vs_traditional:9",
 )
 def scenario_run(spark, d):
     return N.simulate(exposed(spark, d)).drop("sord")
@@ -184,7 +184,7 @@ def _q(sector: str) -> str:
        m AS (SELECT request, max(w) FILTER (rn = 1) * 0.3 AS moved FROM r GROUP BY 1)
        SELECT r.request, sum(impact * w) AS current, sum(impact * CASE WHEN rn = 1 THEN w - moved WHEN rn = 4 THEN w + moved ELSE w END) AS causal,
               sum(impact * 0.25) AS traditional FROM r JOIN m USING (request) GROUP BY 1""",
-    r="current causal traditional",
+    r="current:10 causal:10 traditional:10",
 )
 def quick_shift(spark, d):
     return N.quick_shift(S.what_ifs(spark, d))
