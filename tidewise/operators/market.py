@@ -78,3 +78,20 @@ def active_models(models: DataFrame) -> DataFrame:
     """The model activated last in each type."""
     on = models.filter("activated").groupBy("model_type")
     return on.agg(F.max_by("model_id", "seq").alias("model_id"), F.max_by("version", "seq").alias("version"))
+
+
+def snapshot(series: DataFrame) -> DataFrame:
+    """Latest value of each series, its change in percent and direction."""
+    from tidewise.operators import series as W
+
+    def stage(w):
+        return {"chg": W.simple_return(F.col("value"), w) * 100}
+
+    df = W.windowed(series, W.Layout(("series",), ("ts",)), [stage], back=1)
+    last = F.max_by("chg", "ts")
+    return df.groupBy("series").agg(
+        F.max("ts").alias("ts"),
+        F.max_by("value", "ts").alias("value"),
+        last.alias("change"),
+        F.when(last.isNull(), "neutral").when(last > 0, "up").otherwise("down").alias("trend"),
+    )

@@ -158,9 +158,9 @@ def compare_causal(mom: DataFrame, adjustments: DataFrame, symbols: list[str]) -
     """Best Sharpe weights on plain against adjusted means; both are judged by the plain means."""
     adj = adjustments.agg(*[F.coalesce(F.max(F.when(F.col("symbol") == s, F.col("adjustment"))), F.lit(0.0)).alias(s) for s in symbols])
     row = adj.select(F.array(*symbols).alias("adj"))
-    shifted = mom.withColumn("plain", F.col("mu")).withColumn(
-        "mu", F.zip_with("mu", row.scalar(), lambda m, a: m + a)
-    )
+    shifted = mom.withColumn("_adj", row.scalar())
+    k = len(symbols)
+    shifted = shifted.withColumn("mu", F.array(*[F.col("mu")[i] + F.col("_adj")[i] for i in range(k)])).drop("_adj")
     plain = optimise(mom, len(symbols)).filter("objective = 'max_sharpe'")
     causal = optimise(shifted, len(symbols)).filter("objective = 'max_sharpe'").select("grp", F.col("w").alias("cw"), F.col("vol").alias("cvol"))
     j = plain.join(causal, "grp").join(mom.select("grp", "mu"), "grp")

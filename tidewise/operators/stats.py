@@ -232,7 +232,7 @@ def gram(df: DataFrame, columns: list[str], group: Column | None = None) -> Data
         (F.lit("all") if group is None else group.cast("string")).alias("grp"),
         F.array(*[F.col(c).cast("double") for c in columns]).alias("raw"),
         centre.alias("m"),
-    ).select("grp", F.zip_with("raw", "m", lambda a, b: a - b).alias("v"))
+    ).select("grp", F.array(*[F.col("raw")[i] - F.col("m")[i] for i in range(len(columns))]).alias("v"))
     k = len(columns) + 1
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

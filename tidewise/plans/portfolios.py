@@ -57,7 +57,7 @@ def portfolio_performance(spark, d):
     "A6 X4 P22",
     """WITH pr AS (SELECT portfolio, ts, sum(w * r) AS r FROM aligned JOIN nation_weights USING (symbol) GROUP BY 1, 2),
        k(period, days) AS (VALUES ('1M', 30), ('3M', 90), ('1Y', 365), ('ALL', 1825)),
-       x AS (SELECT portfolio, period, ts, r / 100 AS r FROM pr JOIN k ON ts >= DATE '2001-08-01' - days),
+       x AS (SELECT portfolio, period, ts, r / 1000 AS r FROM pr JOIN k ON ts >= DATE '2001-08-01' - days),
        g AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio, period ORDER BY ts)) AS growth FROM x),
        v AS (SELECT *, growth / max(growth) OVER (PARTITION BY portfolio, period ORDER BY ts) - 1 AS dd FROM g),
        m AS (SELECT portfolio, period, arg_max(growth, ts) - 1 AS t, stddev_samp(r) * sqrt(252) AS vol, min(dd) AS dd FROM v GROUP BY 1, 2)
@@ -65,7 +65,7 @@ def portfolio_performance(spark, d):
     r="total_return volatility sharpe_ratio max_drawdown",
 )
 def portfolio_periods(spark, d):
-    r = P.portfolio_returns(returns(spark, d), S.nation_weights(spark, d)).withColumn("r", F.col("r") / 100)
+    r = P.portfolio_returns(returns(spark, d), S.nation_weights(spark, d)).withColumn("r", F.col("r") / 1000)
     return P.by_period(r, "2001-08-01")
 
 
@@ -219,7 +219,7 @@ def holdings_fold(spark, d):
     "holdings_buys_only",
     "L1",
     "SELECT portfolio, symbol, sum(shares) AS shares, sum(shares * price) / sum(shares) AS avg_cost FROM trades WHERE side = 'buy' GROUP BY 1, 2",
-    r="shares avg_cost",
+    r="shares avg_cost:9",
 )
 def holdings_buys_only(spark, d):
     return L.buys_only(S.trades(spark, d))
@@ -255,7 +255,7 @@ def _valued(spark, d):
     "holdings_valuation",
     "L2 J7 W21",
     f"WITH {_VALUED} SELECT * FROM va",
-    r="shares avg_cost current_price day_change day_change_pct market_value:3 cost_basis:3 gain_loss:3 gain_loss_pct",
+    r="shares avg_cost:9 current_price:8 day_change:8 day_change_pct:8 market_value:6 cost_basis:6 gain_loss:6 gain_loss_pct:7",
 )
 def holdings_valuation(spark, d):
     return _valued(spark, d)
@@ -267,7 +267,7 @@ def holdings_valuation(spark, d):
     f"""WITH {_VALUED}, t AS (SELECT portfolio, sum(market_value) AS v FROM va GROUP BY 1)
         SELECT c_custkey AS portfolio, c_acctbal AS cash, coalesce(v, 0) AS total_value, c_acctbal + coalesce(v, 0) AS total_equity
         FROM customer LEFT JOIN t ON portfolio = c_custkey""",
-    r="total_value:3 total_equity:3",
+    r="total_value:5 total_equity:5",
 )
 def total_equity(spark, d):
     cash = S.table(spark, d, "customer").select(F.col("c_custkey").alias("portfolio"), F.col("c_acctbal").alias("cash"))
