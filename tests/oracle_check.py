@@ -81,7 +81,7 @@ def main():
         try:
             res = compare(spark, con, registry[n], sf)
         except Exception as e:  # noqa: BLE001
-            res = f"ERROR {type(e).__name__}: {str(e)[:1500]}"
+            res = f"ERROR {type(e).__name__}: {str(e)[:700]}"
         ok = res.startswith(("ok", "rows"))
         bad += not ok
         print(f"{'' if ok else '!!! '}{n:34s} {time.time() - t:6.2f}s {res}", flush=True)

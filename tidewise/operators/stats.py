@@ -199,6 +199,16 @@ def forecast_error(df: DataFrame, keys: list[str], actual: str, forecast: str) -
     )
 
 
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row: a struct ``q`` with an array of exact quantiles for every column. Columns share one sort."""
+    long = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns]))
+    )
+    q = exact_quantiles(long, ["name"], "x", {f"q{i}": p for i, p in enumerate(probs)})
+    each = q.select("name", F.array(*[F.col(f"q{i}") for i in range(len(probs))]).alias("v"))
+    return each.agg(F.struct(*[F.max(F.when(F.col("name") == c, F.col("v"))).alias(c) for c in columns]).alias("q"))
+
+
 # ---------------------------------------------------------------- entropy
 
 
@@ -300,6 +310,6 @@ def regress(grams: DataFrame, jobs: list[tuple[str, str, list[str]]]) -> DataFra
                     out.append(
                         (g, y, t, ",".join(conf), b0, se, tv, p, b0 - q * se, b0 + q * se, r["ssr"], r["df"], n)
                     )
-            yield pd.DataFrame(out, columns=[f.name for f in T._parse_datatype_string(REGRESSIONS).fields])
+            yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in REGRESSIONS.split(",")])
 
     return grams.mapInPandas(run, REGRESSIONS)

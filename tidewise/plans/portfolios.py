@@ -219,7 +219,7 @@ def holdings_fold(spark, d):
     "holdings_buys_only",
     "L1",
     "SELECT portfolio, symbol, sum(shares) AS shares, sum(shares * price) / sum(shares) AS avg_cost FROM trades WHERE side = 'buy' GROUP BY 1, 2",
-    r="shares avg_cost:9",
+    r="shares avg_cost:10",
 )
 def holdings_buys_only(spark, d):
     return L.buys_only(S.trades(spark, d))
@@ -255,7 +255,7 @@ def _valued(spark, d):
     "holdings_valuation",
     "L2 J7 W21",
     f"WITH {_VALUED} SELECT * FROM va",
-    r="shares avg_cost:9 current_price:8 day_change:8 day_change_pct:8 market_value:6 cost_basis:6 gain_loss:6 gain_loss_pct:7",
+    r="shares avg_cost:11 current_price:8 day_change:8 day_change_pct:8 market_value:6 cost_basis:6 gain_loss:6 gain_loss_pct:7",
 )
 def holdings_valuation(spark, d):
     return _valued(spark, d)

@@ -180,12 +180,12 @@ def mixture_regimes(spark, d):
     "R6 W19",
     """WITH m AS (SELECT obs_date, FEDFUNDS - CPIAUCSL AS yield_curve_spread, UNRATE / 3 AS unemployment_rate, GDP / lag(GDP) OVER (ORDER BY obs_date) - 1 AS industrial_production_change,
          CPIAUCSL / lag(CPIAUCSL) OVER (ORDER BY obs_date) - 1 AS cpi_change FROM macro_wide),
-       v AS (SELECT obs_date, CASE WHEN yield_curve_spread > 0 THEN 1.0 WHEN yield_curve_spread < -0.5 THEN -1.0 ELSE 0.0 END AS leading,
+       v AS (SELECT obs_date, CASE WHEN yield_curve_spread > 0 THEN 1.0 WHEN yield_curve_spread < -0.5 THEN -1.0 ELSE 0.0 END AS "leading",
          (CASE WHEN unemployment_rate < 4.5 THEN 1.0 WHEN unemployment_rate > 6 THEN -1.0 ELSE 0.0 END + coalesce(CASE WHEN industrial_production_change > 0.02 THEN 1.0 WHEN industrial_production_change < -0.02 THEN -1.0
            WHEN industrial_production_change IS NOT NULL THEN 0.0 END, 0)) / CASE WHEN industrial_production_change IS NULL THEN 1 ELSE 2 END AS coincident,
          CASE WHEN cpi_change > 0.01 AND cpi_change < 0.03 THEN 1.0 WHEN cpi_change > 0.05 OR cpi_change < 0 THEN -1.0 WHEN cpi_change IS NOT NULL THEN 0.0 END AS lagging FROM m),
-       c AS (SELECT *, leading * 0.5 + coincident * 0.3 + coalesce(lagging, 0) * 0.2 AS composite FROM v)
-       SELECT obs_date, leading, coincident, lagging, composite, CASE WHEN composite > 0.3 THEN 'expansion' WHEN composite > 0 THEN 'late_expansion' WHEN composite > -0.3 THEN 'early_contraction' ELSE 'contraction' END AS phase FROM c""",
+       c AS (SELECT *, "leading" * 0.5 + coincident * 0.3 + coalesce(lagging, 0) * 0.2 AS composite FROM v)
+       SELECT obs_date, "leading", coincident, lagging, composite, CASE WHEN composite > 0.3 THEN 'expansion' WHEN composite > 0 THEN 'late_expansion' WHEN composite > -0.3 THEN 'early_contraction' ELSE 'contraction' END AS phase FROM c""",
     r="leading coincident lagging composite",
     dates="obs_date",
 )

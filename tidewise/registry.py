@@ -35,7 +35,7 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        fixed = [f"round(CAST({c} AS DOUBLE), {n}) + 0.0 AS {c}" for c, n in self.places.items()]
+        fixed = [f'round(CAST("{c}" AS DOUBLE), {n}) + 0.0 AS "{c}"' for c, n in self.places.items()]
         fixed += [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in self.dates]
         fixed += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in self.stamps]
         replace = f" REPLACE ({', '.join(fixed)})" if fixed else ""
