@@ -171,19 +171,25 @@ def binned_pairs(panel: DataFrame, variables: list[str], lag: int = 1, bins: int
 
 
 def transfer_entropy(counts: DataFrame) -> DataFrame:
-    """H(y|y_past) - H(y|y_past, x_past) in bits from the counts, with the true joint entropies."""
+    """H(y|y_past) - H(y|y_past, x_past) in bits from the counts, with the true joint entropies.
+
+    Each row adds its share of log2 of its marginal cells; a pair has at most bins^3 rows.
+    """
     pair = ["source", "target"]
-    total = counts.groupBy(*pair).agg(F.sum("m").alias("n"))
 
-    def h(cells: list[str], name: str) -> DataFrame:
-        c = counts.groupBy(*pair, *cells).agg(F.sum("m").alias("m")).join(total, pair)
-        p = F.col("m") / F.col("n")
-        return c.groupBy(*pair).agg((-F.sum(p * F.log2(p + 1e-10))).alias(name))
+    def log_p(*cells: str) -> Column:
+        w = Window.partitionBy(*pair, *cells)
+        return F.log2(F.sum("m").over(w) / F.sum("m").over(Window.partitionBy(*pair)) + 1e-10)
 
-    df = total
-    for cells, name in ((["y", "yp"], "a"), (["yp"], "b"), (["y", "yp", "xp"], "c"), (["yp", "xp"], "d")):
-        df = df.join(h(cells, name), pair)
-    return df.select(*pair, (F.col("a") - F.col("b") - F.col("c") + F.col("d")).alias("transfer_entropy"), "n")
+    rows = counts.withColumns(
+        {
+            "_n": F.sum("m").over(Window.partitionBy(*pair)),
+            "_l": log_p("y", "yp", "xp") - log_p("yp", "xp") - log_p("y", "yp") + log_p("yp"),
+        }
+    )
+    return rows.groupBy(*pair).agg(
+        F.sum(F.col("m") / F.col("_n") * F.col("_l")).alias("transfer_entropy"), F.max("_n").alias("n")
+    )
 
 
 def transfer_entropy_test(counts: DataFrame, shuffles: int = 100, bins: int = 10, seed: int = 42) -> DataFrame:

@@ -75,7 +75,17 @@ def pair_columns(columns: list[str], others: list[str] | None = None, ordered: b
 
 
 def pairwise(df: DataFrame, pairs: list[tuple[str, str]], aggs: dict[str, callable]) -> DataFrame:
-    """One row per pair (a, b) with the aggregates, all from one pass with map-side partial sums."""
+    """One row per pair (a, b) with the aggregates, from one pass with map-side partial sums.
+
+    Few pairs are aggregated side by side; many are turned into rows first, which keeps the generated
+    code small. Either way only one partial result per pair and task is shuffled.
+    """
+    if len(pairs) > 24:
+        items = F.array(
+            *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("_x"), F.col(b).alias("_y")) for a, b in pairs]
+        )
+        long = df.select(F.inline(items))
+        return long.groupBy("a", "b").agg(*[fn(F.col("_x"), F.col("_y")).alias(n) for n, fn in aggs.items()])
     exprs = [
         fn(F.col(a), F.col(b)).alias(f"{name}_{k}") for k, (a, b) in enumerate(pairs) for name, fn in aggs.items()
     ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ingest", "columns", "windows", "scenarios", "portfolios", "regimes", "causality")
+MODULES = ("ingest", "columns", "windows", "scenarios", "portfolios", "regimes", "causality", "forecasts", "streams")
 
 
 def load():

@@ -103,15 +103,22 @@ def variable_pairs(spark, d):
     return M.correlation(panel(spark, d), M.pair_columns(SYMBOLS, ordered=True))
 
 
-_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LI = ["l_quantity", "l_discount", "charge", "tax_paid"]
+_LX = """lx AS (SELECT l_quantity, l_discount, l_quantity * (1 - l_discount) AS charge, l_quantity * (1 - l_discount) * l_tax AS tax_paid FROM lineitem)"""
+
+
+def _charges(spark, d):
+    li = S.table(spark, d, "lineitem").withColumn("charge", F.col("l_quantity") * (1 - F.col("l_discount")))
+    return li.select("l_quantity", "l_discount", "charge", (F.col("charge") * F.col("l_tax")).alias("tax_paid"))
+
 
 
 @query(
     "correlation_structure",
     "C5",
-    """WITH c AS ("""
+    f"WITH {_LX}, c AS ("
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS cause, '{b}' AS effect, corr({a}, {b}) AS correlation, count(*) AS sample_size FROM lineitem"
+        f"SELECT '{a}' AS cause, '{b}' AS effect, corr({a}, {b}) AS correlation, count(*) AS sample_size FROM lx"
         for i, a in enumerate(_LI)
         for b in _LI[i + 1 :]
     )
@@ -119,7 +126,7 @@ _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     r="correlation",
 )
 def correlation_structure(spark, d):
-    return D.correlation_structure(S.table(spark, d, "lineitem"), _LI)
+    return D.correlation_structure(_charges(spark, d), _LI)
 
 
 TE = f"""{PANEL}, rg AS (SELECT symbol, min(r) AS lo, max(r) AS hi FROM pl GROUP BY 1),
@@ -176,7 +183,7 @@ def chi_square_tests(spark, d):
 
 @query("pc_edges", "C4 P6")
 def pc_edges(spark, d):
-    li = S.table(spark, d, "lineitem").select(*_LI)
+    li = _charges(spark, d)
     edges = D.pc_algorithm(li, _LI)
     n = li.agg(F.count(F.lit(1))).scalar()
     return edges.withColumn("n", n)

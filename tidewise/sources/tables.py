@@ -193,7 +193,11 @@ TRADE_ORDER = (
 
 def trades(spark, sf_dir) -> DataFrame:
     """Paper trades of a portfolio (= customer). Whole rows are unique, so TRADE_ORDER is total."""
-    return brand_lines(spark, sf_dir).select(
+    return as_trades(brand_lines(spark, sf_dir))
+
+
+def as_trades(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("o_custkey").alias("portfolio"),
         F.to_date("o_orderdate").alias("ts"),
         F.col("p_brand").alias("symbol"),
