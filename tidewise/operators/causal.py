@@ -27,7 +27,7 @@ PANEL = W.Layout(("panel",), ("ts",))
 
 def lagged_panel(panel: DataFrame, variables: list[str], lags: range, layout: W.Layout = PANEL) -> DataFrame:
     """Complete rows of a panel (one row per time) with lag columns ``{name}__{k}`` and the position ``pos``."""
-    df = panel.dropna(subset=variables).withColumn("panel", F.lit(1))
+    df = checkpointed(panel.dropna(subset=variables)).withColumn("panel", F.lit(1))
     df = W.numbered(df, layout).drop("_n")
 
     def stage(w):
@@ -113,16 +113,21 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 def lagged_correlation(panel: DataFrame, variables: list[str], max_lag: int = 10, least: int = 30) -> DataFrame:
     """For each ordered pair the lag with the largest absolute correlation of cause(t-lag) with effect(t)."""
-    lags = range(1, max_lag + 1)
-    lagged = lagged_panel(panel, variables, lags)
-    pairs = [(f"{a}__{k}", b) for a, b in M.pair_columns(variables, ordered=True) for k in lags]
-    c = M.pairwise(lagged, pairs, {"corr": F.corr, "n": M.pair_count})
+    df = checkpointed(panel.dropna(subset=variables)).withColumn("panel", F.lit(1))
+    df = df.select("panel", "ts", F.array(*[F.col(v).cast("double") for v in variables]).alias("now"))
+
+    def past(w):
+        return {"past": F.array(*[F.lag("now", k).over(w) for k in range(1, max_lag + 1)])}
+
+    # lag, cause and effect become rows one after the other: small code, and partial sums before the shuffle
+    rows = W.windowed(df, PANEL, [past], back=max_lag)
+    rows = rows.select("now", F.posexplode("past").alias("k", "xs")).filter(F.col("xs").isNotNull())
+    rows = rows.select("k", "now", F.posexplode("xs").alias("i", "x"))
+    rows = rows.select("k", "i", "x", F.posexplode("now").alias("j", "y")).filter("i <> j")
+    names = F.array(*[F.lit(v) for v in variables])
+    c = rows.groupBy("k", "i", "j").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
     c = c.filter((F.col("n") > least) & F.col("corr").isNotNull()).select(
-        F.substring_index("a", "__", 1).alias("cause"),
-        F.col("b").alias("effect"),
-        F.substring_index("a", "__", -1).cast("int").alias("lag"),
-        "corr",
-        "n",
+        names[F.col("i")].alias("cause"), names[F.col("j")].alias("effect"), (F.col("k") + 1).alias("lag"), "corr", "n"
     )
     at = F.struct(F.round(F.abs("corr"), 12), -F.col("lag"))
     best = c.groupBy("cause", "effect").agg(
@@ -147,7 +152,7 @@ def correlation_structure(df: DataFrame, variables: list[str], threshold: float
 
 def binned_pairs(panel: DataFrame, variables: list[str], lag: int = 1, bins: int = 10) -> DataFrame:
     """Counts of (y_t, y_past, x_past) bins for every ordered pair: at most bins^3 rows per pair."""
-    whole = panel.dropna(subset=variables)
+    whole = checkpointed(panel.dropna(subset=variables))
     lo_hi = whole.agg(F.array(*[F.min(v) for v in variables]).alias("lo"), F.array(*[F.max(v) for v in variables]).alias("hi"))
     ranged = whole.withColumn("_r", lo_hi.select(F.struct("lo", "hi")).scalar())
     binned = ranged.select(

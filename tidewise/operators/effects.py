@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidewise.functions import scalar as C
 from tidewise.functions import special
 from tidewise.operators import stats as M
+from tidewise.session import checkpointed
 from tidewise.sources import tables as S
 
 MIN_ROWS = 100
@@ -34,7 +35,8 @@ def macro_sector_effects(matrix: DataFrame, sectors: list[str], treatments: list
         for t in treatments
         if f"{s}_Return_1d" in have and t in have
     ]
-    return ols_effects(matrix, jobs)
+    # one row per date: stored once, read for the means and again for the cross products
+    return ols_effects(checkpointed(matrix.select(*{c for y, t, cs in jobs for c in (y, t, *cs)})), jobs)
 
 
 def sensitivity_matrix(spark, effects: DataFrame) -> DataFrame:

@@ -241,14 +241,14 @@ def feature_matrix(spark, sf_dir, anchor: str | None = "SP500", back_fill: bool
     form, one window per feature (bounded by the calendar), never over one window for everything.
     """
     long = long_features(spark, sf_dir)
-    dates = long.select("ts").distinct()
-    names = F.array(*[F.lit(f) for f in FEATURES])
-    grid = dates.select("ts", F.explode(names).alias("feature")).join(long, ["ts", "feature"], "left")
-    grid = grid.withColumn("_seen", F.col("value").isNotNull())
+    # one map per date (at most one entry per feature) spans the grid, so the inputs are computed once
+    by_date = long.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
+    cells = ", ".join(f"struct('{f}' AS feature, m['{f}'] AS value)" for f in FEATURES)
+    grid = by_date.select("ts", F.expr(f"inline(array({cells}))")).withColumn("_seen", F.col("value").isNotNull())
     filled = W.fill(grid, W.Layout(("feature",), ("ts",)), ["value"], back=back_fill)
     # plain conditional aggregates: completeness is a count, not 34 null checks that slow the optimizer down
     wide = filled.groupBy("ts").agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in FEATURES],
+        *[F.expr(f"max(CASE WHEN feature = '{f}' THEN value END) AS {f}") for f in FEATURES],
         F.count("value").alias("_n"),
         F.bool_or((F.col("feature") == (anchor or "")) & F.col("_seen")).alias("_on"),
     )

@@ -19,9 +19,9 @@ def aligned_returns(bars: DataFrame, symbols: list[str]) -> DataFrame:
 
     The grid (dates x symbols) is bounded by the calendar.
     """
-    names = F.array(*[F.lit(s) for s in symbols])
-    grid = bars.select("ts").distinct().select("ts", F.explode(names).alias("symbol"))
-    padded = W.fill(grid.join(bars.select("symbol", "ts", "close"), ["ts", "symbol"], "left"), W.DAILY, ["close"])
+    by_date = bars.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "close"))).alias("m"))
+    cells = F.array(*[F.struct(F.lit(s).alias("symbol"), F.col("m")[s].alias("close")) for s in symbols])
+    padded = W.fill(by_date.select("ts", F.inline(cells)), W.DAILY, ["close"])
     df = W.windowed(padded, W.DAILY, [lambda w: {"r": W.simple_return(F.col("close"), w)}], back=1)
     k = F.count("r").over(Window.partitionBy("ts"))
     return df.withColumn("_k", k).filter(F.col("_k") == len(symbols)).drop("_k")

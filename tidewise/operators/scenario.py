@@ -110,29 +110,28 @@ def compare_regimes(runs: DataFrame) -> DataFrame:
 
 
 def immediate_actions(exposed: DataFrame, funds: DataFrame, impacts: DataFrame) -> DataFrame:
-    """Reduce the three worst sectors (below -2 %, held above 5 %), increase the two best (above 1 %)."""
-    reduce = exposed.filter((F.col("rank") <= 3) & (F.col("impact") < -0.02) & (F.col("w") > 0.05)).select(
+    """Reduce the three worst sectors (below -2 %, held above 5 %), increase the two best (above 1 %).
+
+    A portfolio's weights (at most one per fund) become one map per scenario and meet the scenario's few
+    candidate sectors, so holdings are read once and sectors that are not held are found too.
+    """
+    rank, impact = F.col("rank"), F.col("impact")
+    low = (rank <= 3) & (impact < -0.02)
+    high = (rank > F.col("sectors") - 2) & (impact > 0.01)
+    candidates = impacts.filter(low | high).join(funds.select("sector", "etf"), "sector")
+    candidates = candidates.select("scenario", "etf", "rank", F.when(high, "increase").otherwise("reduce").alias("action"))
+    held = exposed.groupBy(*PS).agg(F.map_from_entries(F.collect_list(F.struct("etf", "w"))).alias("m"))
+    j = held.join(candidates, "scenario").withColumn("w", F.coalesce(F.try_element_at("m", "etf"), F.lit(0.0)))
+    more = F.col("action") == "increase"
+    rows = j.filter(more | (F.col("w") > 0.05)).select(
         *PS,
-        F.lit("reduce").alias("action"),
+        "action",
         "etf",
         (F.col("w") * 100).alias("current_weight"),
-        (F.col("w") * 30).alias("suggested"),
-        F.col("rank").alias("seq"),
-    )
-    best = impacts.filter((F.col("rank") > F.col("sectors") - 2) & (F.col("impact") > 0.01))
-    best = best.join(funds, "sector").select("scenario", "etf", "rank")
-    held = exposed.select(*PS, "etf", "w")
-    more = exposed.select(*PS).distinct().join(best, "scenario").join(held, [*PS, "etf"], "left")
-    increase = more.select(
-        *PS,
-        F.lit("increase").alias("action"),
-        "etf",
-        (F.coalesce("w", F.lit(0.0)) * 100).alias("current_weight"),
-        F.lit(5.0).alias("suggested"),
-        F.col("rank").alias("seq"),
+        F.when(more, 5.0).otherwise(F.col("w") * 30).alias("suggested"),
+        F.row_number().over(Window.partitionBy(*PS).orderBy("rank")).alias("place"),
     )
-    w = Window.partitionBy(*PS).orderBy("seq")
-    return reduce.unionByName(increase).withColumn("place", F.row_number().over(w)).filter("place <= 5").drop("seq")
+    return rows.filter("place <= 5")
 
 
 def strategic_shifts(shocks: DataFrame, impacts: DataFrame) -> DataFrame:

@@ -207,10 +207,16 @@ def fill(df: DataFrame, layout: Layout, cols: list[str], back: bool = False) ->
 
     Filling backward looks into the future: use it for parity of a finished table, not for training.
     """
+    if back and layout.block is None:
+        rest = layout.window().rowsBetween(0, Window.unboundedFollowing)
+        df = df.withColumns({f"_b_{c}": F.first(c, ignorenulls=True).over(rest) for c in cols})
+        df = running(df, layout, {c: ("last", F.col(c)) for c in cols})
+        return df.withColumns({c: F.coalesce(c, f"_b_{c}") for c in cols}).drop(*[f"_b_{c}" for c in cols])
     df = running(df, layout, {c: ("last", F.col(c)) for c in cols})
     if back:
+        at = F.struct(*layout.order)
         firsts = df.groupBy(*layout.keys).agg(
-            *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*layout.order))).alias(f"_f_{c}") for c in cols]
+            *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_f_{c}") for c in cols]
         )
         df = df.join(firsts, list(layout.keys)).withColumns({c: F.coalesce(c, f"_f_{c}") for c in cols})
         df = df.drop(*[f"_f_{c}" for c in cols])
@@ -369,11 +375,14 @@ def transitions(df: DataFrame, layout: Layout, state: str) -> DataFrame:
 
 
 def calendar_fill(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """One row per calendar day between the first and last day of each series, values carried forward."""
-    span = df.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    days = span.select(key, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(ts))
-    days = days.withColumn(ts, F.to_date(ts))
-    return fill(days.join(df, [key, ts], "left"), Layout((key,), (ts,)), [value])
+    """One row per calendar day between the first and last day of each series, values carried forward.
+
+    Each observation is repeated up to the day before the next one: no calendar table, no join.
+    """
+    seen = df.filter(F.col(value).isNotNull())
+    until = F.coalesce(F.date_sub(F.lead(ts).over(Window.partitionBy(key).orderBy(ts)), 1), F.col(ts))
+    days = F.explode(F.sequence(F.col(ts), F.col("_until"), F.expr("interval 1 day")))
+    return seen.withColumn("_until", until).select(key, days.alias(ts), value)
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, value: str) -> DataFrame:

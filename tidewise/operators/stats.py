@@ -174,7 +174,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, flo
     keys = keys or ["_all"]
     src = df if keys != ["_all"] else df.withColumn("_all", F.lit(1))
     values = src.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).cast("double").alias("_m"))
-    layout = W.block_layout(W.checkpointed(values), tuple(keys), (x,))
+    values = W.checkpointed(values)
+    layout = W.block_layout(values, tuple(keys), (x,))
     ranked = W.running(values, layout, {"_to": ("sum", F.col("_m"))})
     ranked = ranked.withColumn("_from", F.col("_to") - F.col("_m"))
     size = values.groupBy(*keys).agg(F.sum("_m").alias("_n"))

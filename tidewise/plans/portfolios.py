@@ -33,7 +33,7 @@ CURVE = """pr AS (SELECT portfolio, ts, sum(w * r) AS r FROM aligned JOIN nation
   cv AS (SELECT *, growth / max(growth) OVER (PARTITION BY portfolio ORDER BY ts) - 1 AS drawdown FROM cg)"""
 
 
-@query("portfolio_returns", "A5", f"WITH {CURVE} SELECT * FROM pr", r="r:10", dates="ts")
+@query("portfolio_returns", "A5", f"WITH {CURVE} SELECT * FROM pr", r="r:8", dates="ts")
 def portfolio_returns(spark, d):
     return P.portfolio_returns(returns(spark, d), S.nation_weights(spark, d))
 

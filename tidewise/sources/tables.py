@@ -12,7 +12,7 @@ symbol and period, i.e. a series of daily bars is bounded by the calendar, not b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewise import constants as K
@@ -160,8 +160,7 @@ def fund_weights(spark, sf_dir) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("portfolio"), brand_etf(F.col("p_brand")).alias("etf"))
         .agg(F.sum("l_extendedprice").alias("spend"))
     )
-    total = spend.groupBy("portfolio").agg(F.sum("spend").alias("total"))
-    return spend.join(total, "portfolio").select("portfolio", "etf", (F.col("spend") / F.col("total")).alias("w"))
+    return spend.select("portfolio", "etf", share(F.col("spend")).alias("w"))
 
 
 def nation_weights(spark, sf_dir) -> DataFrame:
@@ -171,8 +170,12 @@ def nation_weights(spark, sf_dir) -> DataFrame:
         .groupBy(F.col("c_nationkey").alias("portfolio"), F.col("c_mktsegment").alias("symbol"))
         .agg(F.sum("o_totalprice").alias("spend"))
     )
-    total = spend.groupBy("portfolio").agg(F.sum("spend").alias("total"))
-    return spend.join(total, "portfolio").select("portfolio", "symbol", (F.col("spend") / F.col("total")).alias("w"))
+    return spend.select("portfolio", "symbol", share(F.col("spend")).alias("w"))
+
+
+def share(x):
+    """Share of a portfolio's total; the rows are already one per portfolio and symbol."""
+    return x / F.sum(x).over(Window.partitionBy("portfolio"))
 
 
 TRADE_ORDER = (
