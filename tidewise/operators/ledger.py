@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.operators import series as W
+from tidewise.session import checkpointed
 
 MAX_DEPOSIT = 1_000_000
 OPENING_CASH = 1_000_000.0
@@ -59,26 +60,112 @@ def step(cash: float, held: dict, symbol: str, side: str, shares: float, price:
     return cash + cost, "ok"
 
 
-STATE = "cash double, symbols array<string>, shares array<double>, costs array<double>, accepted long, rejected long"
+HOT_ROWS = 1_000_000
+FOLDED = "cash double, symbol string, shares double, avg_cost double, accepted long, rejected long"
 
 
-def holdings(trades: DataFrame, order: tuple[str, ...], opening: float = OPENING_CASH) -> DataFrame:
-    """Fold trades in order -> one row per portfolio and held symbol, plus cash and counts.
+def holdings(
+    trades: DataFrame, order: tuple[str, ...], opening: float = OPENING_CASH, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Trades in order -> one row per portfolio and held symbol, with cash and counts.
 
-    The fold is sequential by nature: whether a trade is accepted depends on all before it. A portfolio is
-    read as a stream of sorted Arrow batches, so memory holds its positions and never its trades. Where no
-    trade can be rejected, ``holdings_if_all_accepted`` does the same without any fold.
+    Whether a trade is accepted depends on all trades before it, so an account is folded in order. An account
+    of ordinary size is one small group. A hot one is first replayed in parallel as if everything were
+    accepted: running cash and positions come from block scans, and if they never fall below zero nothing is
+    rejected and the result is sums. Only hot accounts that do reject something are streamed in order.
     """
+    sizes = trades.groupBy("portfolio").agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpointed(sizes.filter(F.col("_n") > hot_rows).select("portfolio"))
+    if hot.isEmpty():
+        return fold_all(trades, order, opening)
+    big = checkpointed(trades.join(hot, "portfolio", "left_semi"))
+    bad = checkpointed(_rejecting(big, order, opening))
+    clean = big.join(bad, "portfolio", "left_anti")
+    rest = trades.join(hot.join(bad, "portfolio", "left_anti"), "portfolio", "left_anti")
+    return fold_all(rest, order, opening).unionByName(_accepted(clean, order, opening))
+
+
+def _moves(trades: DataFrame) -> DataFrame:
+    """Signed shares and cash of valid trades; invalid ones move nothing."""
+    valid = trade_reason(F.col("symbol"), F.col("side"), F.col("shares")).isNull()
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    return trades.withColumns(
+        {
+            "_valid": valid,
+            "_shares": F.when(valid, sign * F.col("shares")).otherwise(0.0),
+            "_cash": F.when(valid, -sign * F.col("shares") * F.col("price")).otherwise(0.0),
+        }
+    )
+
+
+def _rejecting(trades: DataFrame, order: tuple[str, ...], opening: float) -> DataFrame:
+    """Portfolios where accepting everything would overdraw cash or a position, or come too close to tell."""
+    moves = _moves(trades)
+    by_account = W.block_layout(moves, ("portfolio",), order)
+    cash = W.running(moves, by_account, {"_run": ("sum", F.col("_cash"))}).filter(F.col("_run") + opening < 1e-6)
+    by_symbol = W.Layout(("portfolio", "symbol"), order, by_account.block)
+    held = W.running(moves.filter("_valid"), by_symbol, {"_run": ("sum", F.col("_shares"))})
+    short = held.filter((F.col("_run") < 0) | ((F.col("_run") != 0) & (F.abs("_run") < 1e-9)))
+    return cash.select("portfolio").unionByName(short.select("portfolio")).distinct()
+
+
+def _accepted(trades: DataFrame, order: tuple[str, ...], opening: float) -> DataFrame:
+    """State of accounts in which every valid trade is accepted.
+
+    Cash and shares are sums. The average cost is rounded at each purchase, so it is folded, but only per
+    symbol and only over the trades since the position was last empty.
+    """
+    moves = _moves(trades)
+    account = moves.groupBy("portfolio").agg(
+        (F.sum("_cash") + opening).alias("cash"),
+        F.count_if("_valid").alias("accepted"),
+        F.count_if(~F.col("_valid")).alias("rejected"),
+    )
+    layout = W.block_layout(moves, ("portfolio", "symbol"), order)
+    run = W.running(moves.filter("_valid"), layout, {"_run": ("sum", F.col("_shares"))})
+    empty = run.filter(F.col("_run") == 0).groupBy("portfolio", "symbol").agg(F.max("pos").alias("_zero"))
+    live = run.join(empty, ["portfolio", "symbol"], "left").filter(F.col("pos") > F.coalesce("_zero", F.lit(-1)))
+    bought = live.filter("side = 'buy' OR side = 'sell'").select("portfolio", "symbol", "side", "shares", "price", "pos")
+    ordered = bought.repartition("portfolio", "symbol").sortWithinPartitions("portfolio", "symbol", "pos").drop("pos")
+
+    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, {}
+        for b in batches:
+            out = []
+            for p, sym, side, n, price in b.itertuples(index=False):
+                if (p, sym) != key:
+                    if key is not None:
+                        out.append((*key, *held[key[1]]))
+                    key, held = (p, sym), {}
+                step(float("inf"), held, sym, side, n, price)
+            if out:
+                yield pd.DataFrame(out, columns=["portfolio", "symbol", "shares", "avg_cost"])
+        if key is not None:
+            yield pd.DataFrame([(*key, *held[key[1]])], columns=["portfolio", "symbol", "shares", "avg_cost"])
+
+    kind = trades.schema["portfolio"].dataType.simpleString()
+    held = ordered.mapInPandas(cost, f"portfolio {kind}, symbol string, shares double, avg_cost double")
+    return account.join(held, "portfolio", "left").select(
+        "portfolio", "cash", "symbol", "shares", "avg_cost", "accepted", "rejected"
+    )
+
+
+def fold_all(trades: DataFrame, order: tuple[str, ...], opening: float = OPENING_CASH) -> DataFrame:
+    """The plain fold: each portfolio is read as a stream of sorted Arrow batches; memory holds its positions."""
     cols = ["portfolio", "symbol", "side", "shares", "price"]
-    src = trades.select(*cols, F.struct(*order).alias("_o")) if set(order) - set(cols) else trades
-    ordered = src.repartition("portfolio").sortWithinPartitions("portfolio", "_o").select(*cols)
+    ordered = (
+        trades.select(*cols, F.struct(*order).alias("_o"))
+        .repartition("portfolio")
+        .sortWithinPartitions("portfolio", "_o")
+        .select(*cols)
+    )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, cash, held, good, bad = None, opening, {}, 0, 0
 
         def rows():
             syms = sorted(held) or [None]
-            return [(key, cash, s, *(held.get(s, (None, None))), good, bad) for s in syms]
+            return [(key, cash, s, *held.get(s, (None, None)), good, bad) for s in syms]
 
         names = ["portfolio", "cash", "symbol", "shares", "avg_cost", "accepted", "rejected"]
         for b in batches:
@@ -96,10 +183,7 @@ def holdings(trades: DataFrame, order: tuple[str, ...], opening: float = OPENING
             yield pd.DataFrame(rows(), columns=names)
 
     kind = trades.schema["portfolio"].dataType.simpleString()
-    return ordered.mapInPandas(
-        fold,
-        f"portfolio {kind}, cash double, symbol string, shares double, avg_cost double, accepted long, rejected long",
-    )
+    return ordered.mapInPandas(fold, f"portfolio {kind}, {FOLDED}")
 
 
 def net_positions(trades: DataFrame) -> DataFrame:
