@@ -48,6 +48,13 @@ def test_cash_fold(spark):
     assert got == {1: ("ok", 50.0), 2: ("insufficient_funds", 50.0), 3: ("ok", 30.0), 4: ("invalid", 30.0), 5: ("insufficient_funds", 0.0)}
 
 
+def test_hot_cash_accounts_equal_the_stream(spark):
+    rows = [(u, 10 * u + i, a) for u in (1, 2) for i, a in enumerate([5.0, 3e6, 7.0, -4.0, -3.0 - 6 * u, 2.0, 0.0])]
+    m = spark.createDataFrame(rows, "user_id long, event_id long, amount double")
+    key = lambda d: sorted((r["event_id"], r["status"], r["balance"]) for r in d.collect())
+    assert key(L.cash_fold(m, ["user_id"], ("event_id",), hot_rows=2)) == key(L.cash_fold(m, ["user_id"], ("event_id",)))
+
+
 def test_weight_check(spark):
     w = spark.createDataFrame([("a", 0.98), ("b", 0.99), ("c", 1.01), ("d", 1.02)], "portfolio string, w double")
     assert [r["is_valid"] for r in L.check_weights(w).orderBy("portfolio").collect()] == [False, True, True, False]

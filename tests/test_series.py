@@ -94,10 +94,10 @@ def test_asof_matches_pandas(spark):
     rng = np.random.default_rng(3)
     left = pd.DataFrame({"k": rng.choice(["a", "b"], 200), "t": rng.permutation(1000)[:200], "id": range(200)})
     right = pd.DataFrame({"k": rng.choice(["a", "b"], 50), "rt": rng.permutation(1000)[:50], "v": rng.random(50)})
-    got = W.asof(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "rt", "v").toPandas()
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("rt"), left_on="t", right_on="rt", by="k")
-    m = got.sort_values("id")["v"].to_numpy(), want.sort_values("id")["v"].to_numpy()
-    np.testing.assert_array_equal(*m)
+    for block in (None, 16):
+        got = W.asof(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "rt", "v", block).toPandas()
+        np.testing.assert_array_equal(got.sort_values("id")["v"].to_numpy(), want.sort_values("id")["v"].to_numpy())
 
 
 def test_split_thin_and_runs(frame, spark):

@@ -216,12 +216,33 @@ def running_balance(moves: DataFrame, layout: W.Layout, amount: str) -> DataFram
 CASH = "event_id long, amount double, status string, balance double"
 
 
-def cash_fold(moves: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+def cash_fold(moves: DataFrame, keys: list[str], order: tuple[str, ...], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Deposits (positive) and withdrawals (negative) in order; a rejected move leaves the balance alone.
 
-    Streams each account in sorted batches; the state is one number.
+    As for trades: hot accounts are first summed in blocks as if every valid move were accepted, and only
+    those that would go below zero are streamed in order.
     """
     key = keys[0]
+    sizes = moves.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpointed(sizes.filter(F.col("_n") > hot_rows).select(key))
+    if hot.isEmpty():
+        return _cash_stream(moves, key, order)
+    amount = F.col("amount")
+    valid = (amount != 0) & (amount <= MAX_DEPOSIT)
+    big = checkpointed(moves.join(hot, key, "left_semi"))
+    run = checkpointed(
+        W.running(big, W.block_layout(big, (key,), order), {"balance": ("sum", F.when(valid, amount).otherwise(0.0))})
+    )
+    bad = run.filter(F.col("balance") < 1e-6).select(key).distinct()
+    clean = run.join(bad, key, "left_anti").select(
+        key, "event_id", "amount", F.when(valid, "ok").otherwise("invalid").alias("status"), "balance"
+    )
+    rest = moves.join(clean.select(key).distinct(), key, "left_anti")
+    return _cash_stream(rest, key, order).unionByName(clean)
+
+
+def _cash_stream(moves: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Streams each account in sorted batches; the state is one number."""
     ordered = (
         moves.select(key, "event_id", "amount", F.struct(*order).alias("_o"))
         .repartition(key)

@@ -385,24 +385,38 @@ def calendar_fill(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return seen.withColumn("_until", until).select(key, days.alias(ts), value)
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, value: str) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, value: str, block: int | None = None
+) -> DataFrame:
     """Backward as-of join: for each left row the last right value at or before it.
 
-    Both sides are merged into one ordered series per key; one shuffle, no range join.
+    Both sides are merged into one ordered series per key; no range join. With ``block`` a hot key is
+    cut into blocks like any other raw series.
     """
     extra = [c for c in left.columns if c not in by and c != ts]
-    a = left.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    a = left.select(
+        *by,
+        F.col(ts).alias("_t"),
+        F.lit(1).alias("_side"),
+        F.xxhash64(*left.columns).alias("_tie"),
+        F.struct(*left.columns).alias("_row"),
+    )
     b = right.select(
-        *by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.col(right_ts).alias("_vt")
+        *by,
+        F.col(right_ts).alias("_t"),
+        F.lit(0).alias("_side"),
+        F.xxhash64(*right.columns).alias("_tie"),
+        F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(right_ts).alias("t"))).alias("_seen"),
     )
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
-    return (
-        both.withColumn(value, F.last("_v", ignorenulls=True).over(w))
-        .withColumn("as_of", F.last("_vt", ignorenulls=True).over(w))
-        .filter(F.col("_side") == 1)
-        .select("_row.*", value, "as_of")
-        .select(*by, ts, *extra, value, "as_of")
+    layout = Layout(tuple(by), ("_t", "_side", "_tie"), block)
+    seen = running(both, layout, {"_last": ("last", F.col("_seen"))}).filter(F.col("_side") == 1)
+    return seen.select(
+        *by,
+        F.col("_t").alias(ts),
+        *[F.col("_row")[c].alias(c) for c in extra],
+        F.col("_last.v").alias(value),
+        F.col("_last.t").alias("as_of"),
     )
 
 

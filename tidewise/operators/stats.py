@@ -243,7 +243,7 @@ GRAM = "grp string, names array<string>, s array<double>, n long"
 def gram(df: DataFrame, columns: list[str], group: Column | None = None) -> DataFrame:
     """Cross products of [1, columns] per group: (grp, names, s = row-major (k+1)^2, n).
 
-    Every task folds its rows to one block per group (groups must be few); the blocks are summed in Spark.
+    Every task folds its rows to one block per group, passes full batches of groups on, and Spark sums the blocks.
     Columns are shifted by their means first, so that the sums stay well conditioned.
     """
     columns = list(dict.fromkeys(columns))
@@ -256,6 +256,12 @@ def gram(df: DataFrame, columns: list[str], group: Column | None = None) -> Data
     ).select("grp", F.array(*[F.col("raw")[i] - F.col("m")[i] for i in range(len(columns))]).alias("v"))
     k = len(columns) + 1
 
+    room = max(1, 4_000_000 // (k * k))  # groups held at once: at most 32 MB of sums in a task
+
+    def emit(acc: dict[str, list]) -> pd.DataFrame:
+        rows = [(g, i, v, n) for g, (s, n) in acc.items() for i, v in enumerate(s.ravel())]
+        return pd.DataFrame(rows, columns=["grp", "i", "v", "n"])
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, list] = {}
         for b in batches:
@@ -265,11 +271,11 @@ def gram(df: DataFrame, columns: list[str], group: Column | None = None) -> Data
                 a = acc.setdefault(g, [np.zeros((k, k)), 0])
                 a[0] += m.T @ m
                 a[1] += len(part)
+            if len(acc) >= room:
+                yield emit(acc)
+                acc = {}
         if acc:
-            yield pd.DataFrame(
-                [(g, i, v, n) for g, (s, n) in acc.items() for i, v in enumerate(s.ravel())],
-                columns=["grp", "i", "v", "n"],
-            )
+            yield emit(acc)
 
     cells = shifted.mapInPandas(fold, "grp string, i int, v double, n long")
     cells = cells.groupBy("grp", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))

@@ -501,11 +501,17 @@ def effect_modifiers(spark, d):
     return E.cate_modifiers(res, "Energy_Return_1d", "SP500_Return", ["VIX", "Treasury_10Y"])
 
 
-@query("estimate_effect", "E7 F4")
+@query(
+    "estimate_effect",
+    "E7 F4",
+    f"""SELECT CASE WHEN count(*) >= 100 THEN 'backdoor_linear' ELSE 'insufficient_data' END AS method, {ols1('l_extendedprice', 'l_quantity', 'l_discount')} AS ate,
+        count(*) AS sample_size FROM lineitem""",
+    r="ate:4",
+)
 def estimate_effect(spark, d):
     li = S.table(spark, d, "lineitem")
     row = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return E.estimate(li, "l_extendedprice", "l_quantity", ["l_discount"], row)
+    return E.estimate(li, "l_extendedprice", "l_quantity", ["l_discount"], row).select("method", "ate", "sample_size")
 
 
 @query("unmeasured_confounding", "E10")

@@ -108,7 +108,7 @@ def table_shapes(spark, d):
     dates="ts",
 )
 def history_daily(spark, d):
-    return X.history(S.bars(spark, d), "day", "2000-08-01", "2001-08-01")
+    return X.history(S.bars(spark, d, "2000-08-01", "2001-08-01"), "day")
 
 
 @query(

@@ -255,7 +255,7 @@ def _valued(spark, d):
     "holdings_valuation",
     "L2 J7 W21",
     f"WITH {_VALUED} SELECT * FROM va",
-    r="shares avg_cost:11 current_price:8 day_change:8 day_change_pct:8 market_value:6 cost_basis:6 gain_loss:6 gain_loss_pct:7",
+    r="shares avg_cost:11 current_price:11 day_change:9 day_change_pct:9 market_value:9 cost_basis:9 gain_loss:9 gain_loss_pct:7",
 )
 def holdings_valuation(spark, d):
     return _valued(spark, d)
@@ -295,7 +295,18 @@ def _moves(spark, d):
     return ev.select("user_id", "ts", "event_id", F.when(out, -F.col("value")).otherwise(F.col("value")).alias("amount"))
 
 
-@query("cash_fold", "L3 F8")
+@query(
+    "cash_fold",
+    "L3 F8",
+    f"""WITH RECURSIVE {_MOVES}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM mv),
+        f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 0.0::DOUBLE AS amount, '' AS status, 0.0::DOUBLE AS balance FROM (SELECT DISTINCT user_id FROM m)
+          UNION ALL SELECT m.user_id, m.i, m.event_id, m.amount,
+            CASE WHEN m.amount = 0 OR m.amount > 1000000 THEN 'invalid' WHEN m.amount < 0 AND -m.amount > f.balance THEN 'insufficient_funds' ELSE 'ok' END,
+            CASE WHEN m.amount = 0 OR m.amount > 1000000 OR (m.amount < 0 AND -m.amount > f.balance) THEN f.balance ELSE f.balance + m.amount END
+          FROM f JOIN m ON m.user_id = f.user_id AND m.i = f.i + 1)
+        SELECT user_id, event_id, amount, status, balance FROM f WHERE i > 0""",
+    r="balance:5",
+)
 def cash_fold(spark, d):
     return L.cash_fold(_moves(spark, d), ["user_id"], ("ts", "event_id"))
 

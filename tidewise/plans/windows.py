@@ -328,7 +328,17 @@ def sequence_windows(spark, d):
     )
 
 
-@query("exponential_volatility", "W16 M4")
+@query(
+    "exponential_volatility",
+    "W16 M4",
+    """WITH l AS (SELECT symbol, ts, list(lr) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 500 PRECEDING AND CURRENT ROW) AS v FROM rets WHERE lr IS NOT NULL),
+       w AS (SELECT *, list_transform(v, lambda x, i: pow(10.0 / 11.0, len(v) - i)) AS g FROM l),
+       m AS (SELECT *, list_sum(g) AS s, list_sum(list_transform(g, lambda x: x * x)) AS s2, list_sum(list_transform(v, lambda x, i: x * g[i])) / list_sum(g) AS mean FROM w)
+       SELECT symbol, ts, CASE WHEN len(v) > 1 THEN sqrt(list_sum(list_transform(v, lambda x, i: g[i] * (x - mean) * (x - mean))) / s * s * s / (s * s - s2)) * sqrt(252) END AS vol,
+              v[len(v)] AS lr FROM m""",
+    r="vol lr",
+    dates="ts",
+)
 def exponential_volatility(spark, d):
     r = X.returns(S.bars(spark, d)).filter(F.col("lr").isNotNull()).select("symbol", "ts", "lr")
     v = W.ewm_std(r, W.DAILY, "lr", 21.0, "vol")
@@ -664,7 +674,8 @@ def ticks_as_of_quotes(spark, d):
     ev = S.table(spark, d, "events")
     p = ev.filter(F.col("event_type") == "purchase").select("user_id", "ts", "event_id", "value")
     v = ev.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("seen"))
-    return W.asof(p, v, ["user_id"], "ts", "vts", "seen").select("event_id", "value", "seen")
+    size = W.block_layout(ev, ("user_id",), ("ts",)).block
+    return W.asof(p, v, ["user_id"], "ts", "vts", "seen", block=size).select("event_id", "value", "seen")
 
 
 @query(

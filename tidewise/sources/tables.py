@@ -43,15 +43,19 @@ def ohlcv(df: DataFrame, keys: list[str], period, price, order, volume=None) ->
     )
 
 
-def orders_by_segment(spark, sf_dir) -> DataFrame:
+def orders_by_segment(spark, sf_dir, start=None, end=None) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    if start is not None:
+        orders = orders.filter(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     return orders.join(customer, orders.o_custkey == customer.c_custkey)
 
 
-def bars(spark, sf_dir) -> DataFrame:
-    """Daily bars per symbol: symbol = market segment, price = order value."""
-    df = orders_by_segment(spark, sf_dir).withColumnRenamed("c_mktsegment", "symbol")
+def bars(spark, sf_dir, start=None, end=None) -> DataFrame:
+    """Daily bars per symbol: symbol = market segment, price = order value. Days in [start, end)."""
+    df = orders_by_segment(spark, sf_dir, start, end).withColumnRenamed("c_mktsegment", "symbol")
     return ohlcv(df, ["symbol"], F.to_date("o_orderdate"), F.col("o_totalprice"), F.col("o_orderkey"))
 
 
@@ -245,12 +249,7 @@ def activities(spark, sf_dir) -> DataFrame:
 
 def sector_bars(spark, sf_dir, start=None, end=None) -> DataFrame:
     """Bars tagged with fund ticker and sector; the date range reaches the orders scan."""
-    df = bars(spark, sf_dir).join(segment_dim(spark), "symbol")
-    if start is not None:
-        df = df.filter(F.col("ts") >= F.to_date(F.lit(start)))
-    if end is not None:
-        df = df.filter(F.col("ts") < F.to_date(F.lit(end)))
-    return df
+    return bars(spark, sf_dir, start, end).join(segment_dim(spark), "symbol")
 
 
 def registrations(spark, sf_dir) -> DataFrame:
