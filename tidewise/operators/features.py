@@ -262,7 +262,7 @@ def training_set(matrix: DataFrame, sector: str, lookback: int | None = 1260, ho
     The matrix has one row per date; its date column is ranked in slices, not in one window.
     """
     target = f"{sector}_Return_1d"
-    numbered = W.positions(matrix.withColumn("_all", F.lit(1)), W.Layout(("_all",), ("ts",)))
+    numbered = W.positions(matrix.withColumn("_all", F.lit(1)), W.Layout(("_all",), ("ts",)), slices=4)
     label = numbered.select((F.col("pos") - horizon).alias("pos"), F.col(target).alias("label"))
     kept = numbered.join(label, "pos")
     if lookback:

@@ -59,7 +59,11 @@ def positions(df: DataFrame, layout: Layout, slices: int | None = None, out: str
     The order must be unique within a series.
     """
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if layout.block is not None:
+        # block_layout made blocks about the square root of the rows: no more slices than the rows can fill
+        n = min(n, 2 + layout.block * layout.block // 50_000)
+    n = slices or n
     cut = df.repartitionByRange(n, *layout.keys, *layout.order).withColumn("_slice", F.spark_partition_id())
     cut = checkpointed(cut)
     size = cut.groupBy(*layout.keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))

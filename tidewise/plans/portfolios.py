@@ -255,7 +255,7 @@ def _valued(spark, d):
     "holdings_valuation",
     "L2 J7 W21",
     f"WITH {_VALUED} SELECT * FROM va",
-    r="shares avg_cost:11 current_price:11 day_change:9 day_change_pct:9 market_value:9 cost_basis:9 gain_loss:9 gain_loss_pct:7",
+    r="shares avg_cost:10 current_price:10 day_change:9 day_change_pct:9 market_value:6 cost_basis:6 gain_loss:6 gain_loss_pct:7",
 )
 def holdings_valuation(spark, d):
     return _valued(spark, d)

@@ -99,8 +99,8 @@ VIEWS: dict[str, str] = {
                l_discount, l_tax, l_linestatus, l_shipdate
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "quotes": """
-        SELECT p_brand AS symbol, min(p_name) AS name, avg(p_retailprice) AS price,
-               avg(CASE WHEN p_size <= 25 THEN p_retailprice END) AS previous_close,
+        SELECT p_brand AS symbol, min(p_name) AS name, max(p_retailprice) AS price,
+               max(CASE WHEN p_size <= 25 THEN p_retailprice END) AS previous_close,
                sum(p_retailprice * p_size) AS market_cap
         FROM part GROUP BY 1""",
     "what_ifs": """

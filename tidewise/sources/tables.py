@@ -229,8 +229,8 @@ def quotes(spark, sf_dir) -> DataFrame:
         .groupBy(F.col("p_brand").alias("symbol"))
         .agg(
             F.min("p_name").alias("name"),
-            F.avg("p_retailprice").alias("price"),
-            F.avg(F.when(F.col("p_size") <= 25, F.col("p_retailprice"))).alias("previous_close"),
+            F.max("p_retailprice").alias("price"),
+            F.max(F.when(F.col("p_size") <= 25, F.col("p_retailprice"))).alias("previous_close"),
             F.sum(F.col("p_retailprice") * F.col("p_size")).alias("market_cap"),
         )
     )
