@@ -45,11 +45,31 @@ def test_lagged_correlation_and_transfer_entropy_point_the_same_way(spark):
     c = D.lagged_correlation(p, ["x", "y"]).toPandas().set_index("cause")
     assert c.loc["x", "optimal_lag"] == 1 and c.loc["x", "is_causal"] and c.loc["x", "correlation"] > 0.5
     assert abs(c.loc["y", "correlation"]) < 0.2
-    counts = D.binned_pairs(p, ["x", "y"])
-    t = D.transfer_entropy_test(counts, 50).toPandas().set_index("source")
-    plain = D.transfer_entropy(counts).toPandas().set_index("source")
+    counts = D.binned_pairs(p, ["x", "y", "z"])
+    t = D.transfer_entropy_test(counts, 200).toPandas().set_index(["source", "target"])
+    plain = D.transfer_entropy(counts).toPandas().set_index(["source", "target"])
     assert t["transfer_entropy"].to_dict() == pytest.approx(plain["transfer_entropy"].to_dict(), abs=1e-9)
-    assert t.loc["x", "p_value"] < 0.05 < t.loc["y", "p_value"]
+    value, prob = t["transfer_entropy"], t["p_value"]
+    assert value[("x", "y")] > 2 * value[("y", "x")] and prob[("x", "y")] == 0
+    assert min(prob[("x", "z")], prob[("z", "y")], prob[("y", "z")]) > 0.05  # z is noise
+
+
+def test_drawn_tables_have_the_spread_of_real_shuffles(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"ts": range(120), "x": rng.normal(size=120), "y": rng.normal(size=120)})
+    got = D.transfer_entropy_test(D.binned_pairs(spark.createDataFrame(pdf), ["x", "y"], bins=3), 2000, bins=3)
+    row = got.filter("source = 'x'").first()
+    b = {c: pd.cut(pdf[c], 3, labels=False).to_numpy() for c in "xy"}
+    y, yp, xp = b["y"][1:], b["y"][:-1], b["x"][:-1]
+
+    def h(*cols):
+        m = np.unique(np.column_stack(cols), axis=0, return_counts=True)[1] / len(y)
+        return -(m * np.log2(m + 1e-10)).sum()
+
+    te = lambda x: h(y, yp) - h(yp) - h(y, yp, x) + h(yp, x)
+    assert row["transfer_entropy"] == pytest.approx(te(xp))
+    shuffled = np.array([te(rng.permutation(xp)) for _ in range(2000)])
+    assert row["p_value"] == pytest.approx((shuffled >= te(xp) - 1e-12).mean(), abs=0.05)
 
 
 def test_pc_finds_a_collider(spark):

@@ -1,6 +1,7 @@
 """Registered queries against their oracle. All of them with TIDEWISE_ALL=1, else a sample of every area."""
 
 import os
+import re
 
 import pytest
 
@@ -37,4 +38,4 @@ def test_every_inventory_id_is_registered():
 
 
 def test_names_are_descriptive():
-    assert not [n for n in REGISTRY if n.startswith("op") or "pipeline" in n]
+    assert not [n for n in REGISTRY if re.match(r"op\d", n) or "pipeline" in n]

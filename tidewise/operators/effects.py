@@ -245,7 +245,7 @@ def residuals(
 
     whole = df.dropna(subset=[*targets, *confounders])
     whole = whole.withColumn("_fold", F.pmod(F.xxhash64(row_id), F.lit(folds)))
-    data = VectorAssembler(inputCols=confounders, outputCol="_x").transform(whole).persist()
+    data = checkpointed(VectorAssembler(inputCols=confounders, outputCol="_x").transform(whole))
     out = None
     for f in range(folds):
         test = data.filter(F.col("_fold") == f)
