@@ -37,5 +37,11 @@ fits AS (
 SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict FROM fits WHERE k = 1
 """
 
-QUERIES = {"op4_url_filters": op4_url_filters}
+def op2_warc(spark, sf_dir):
+    from tidewise.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op2_warc": op2_warc, "op4_url_filters": op4_url_filters}
 SQL = {"op4_url_filters": OP4_SQL}
