@@ -37,11 +37,30 @@ fits AS (
 SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict FROM fits WHERE k = 1
 """
 
+def op1_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from tidewise.llm import bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id",), decoded=True)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_warc(spark, sf_dir):
     from tidewise.llm import warc
 
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_url_filters": op4_url_filters}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_warc": op2_warc,
+    "op4_url_filters": op4_url_filters,
+}
 SQL = {"op4_url_filters": OP4_SQL}
