@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import table
+from tidewise.llm.common import scratch, table
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = (
@@ -58,9 +58,20 @@ def op2_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from tidewise.llm import tokenfile
+
+    path = scratch(spark)
+    tokenfile.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, path)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
     "op4_url_filters": op4_url_filters,
+    "op7_token_files": op7_token_files,
 }
 SQL = {"op4_url_filters": OP4_SQL}
