@@ -58,6 +58,12 @@ def op2_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_fingerprints(spark, sf_dir):
+    from tidewise.llm import fingerprint
+
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
     "op4_url_filters": op4_url_filters,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
 }
 SQL = {"op4_url_filters": OP4_SQL}
