@@ -23,6 +23,19 @@ def op4_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op10_mixing(spark, sf_dir):
+    from tidewise.llm import mixing
+
+    m = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return m.select(
+        F.col("_id").alias("doc_id"),
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
+    )
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 OP4_SQL = rf"""
 WITH rules(rh, rp, rv) AS (VALUES {_RULES_SQL}),
@@ -80,5 +93,6 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
+    "op10_mixing": op10_mixing,
 }
 SQL = {"op4_url_filters": OP4_SQL}
