@@ -23,6 +23,15 @@ def op4_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op9_language_id(spark, sf_dir):
+    from tidewise.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & F.col("lang").isNotNull())
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(learn))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark, sf_dir):
     from tidewise.llm import mixing
 
@@ -93,6 +102,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
+    "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
 SQL = {"op4_url_filters": OP4_SQL}
