@@ -80,6 +80,12 @@ def op2_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    from tidewise.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op6_fingerprints(spark, sf_dir):
     from tidewise.llm import fingerprint
 
@@ -99,6 +105,7 @@ def op7_token_files(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_url_filters": op4_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
