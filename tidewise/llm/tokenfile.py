@@ -15,11 +15,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewise.llm.bpe import SPACE, WORDS_KEPT, _slices
+from tidewise.llm.bpe import WORDS_KEPT, _slices
 from tidewise.llm.common import parallelism, stored
 
 FORMAT = b"RPR1"
@@ -29,6 +30,9 @@ SHARD_IDS = 1_000_000
 ROUNDS = 12
 #: A pair is frequent if it makes up this part of the shard, and occurs LEAST times.
 SHARE, LEAST = 1 / 4096, 4
+STOPS = ".,;:!?"
+#: Characters that are encoded together.
+TOGETHER = 16_000_000
 SHARDS = "shard long, documents long, ids long, file binary"
 
 
@@ -37,8 +41,9 @@ SHARDS = "shard long, documents long, ids long, file binary"
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int):
     """Rules (pairs of symbols, numbered from ``base``), symbols, and symbols per document."""
-    seq = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
+    seq = ids.astype(np.int32)
+    closes = np.zeros(len(seq), bool)  # the last symbol of its document
+    closes[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
     for _ in range(ROUNDS):
@@ -47,34 +52,39 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int):
             break
         need = max(LEAST, int(n * SHARE))
         often = np.flatnonzero(np.bincount(seq, minlength=base + n_rules) >= need)  # both ids of a frequent pair are frequent
-        if not len(often):
+        m = len(often)
+        if not m:
             break
-        rank = np.full(base + n_rules, -1, np.int64)
-        rank[often] = np.arange(len(often))
+        rank = np.full(base + n_rules, -1, np.int32)
+        rank[often] = np.arange(m)
         r = rank[seq]
-        at = np.flatnonzero((r[:-1] >= 0) & (r[1:] >= 0) & (doc[:-1] == doc[1:]))
-        pair = r[at] * len(often) + r[at + 1]
-        count = np.bincount(pair, minlength=len(often) ** 2)
+        at = np.flatnonzero((r[:-1] >= 0) & (r[1:] >= 0) & ~closes[:-1])
+        pair = r[at] * np.int32(m) + r[at + 1]  # m is at most 1 / SHARE
+        count = np.bincount(pair, minlength=m * m)
         new = np.flatnonzero(count >= need)
         if not len(new):
             break
-        number = np.full(len(often) ** 2, -1, np.int64)
+        number = np.full(m * m, -1, np.int32)
         number[new] = np.arange(len(new))
         hit = number[pair]
-        at, hit = at[hit >= 0], hit[hit >= 0]
+        chosen = hit >= 0
+        at, hit = at[chosen], hit[chosen]
         # Of overlapping pairs every second one, counted from the left.
         first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(first, np.diff(np.append(first, len(at))))
         free = (np.arange(len(at)) - run) % 2 == 0
         at, hit = at[free], hit[free]
         seq[at] = base + n_rules + hit
+        closes[at] = closes[at + 1]
         keep = np.ones(n, bool)
         keep[at + 1] = False
-        seq, doc = seq[keep], doc[keep]
-        rules.append(np.stack([often[new // len(often)], often[new % len(often)]], axis=1))
+        seq, closes = seq[keep], closes[keep]
+        rules.append(np.stack([often[new // m], often[new % m]], axis=1))
         n_rules += len(new)
     table = np.concatenate([*rules, np.empty((0, 2), np.int64)])
-    return table, seq, np.bincount(doc, minlength=len(lengths))
+    per_doc = np.zeros(len(lengths), np.int64)
+    per_doc[lengths > 0] = np.diff(np.flatnonzero(closes), prepend=-1)
+    return table, seq, per_doc
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -174,8 +184,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -184,33 +192,87 @@ class Encoder:
         split = spec.get("pre_tokenizer") or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.chunks = re.compile(rf"[{SPACE}]+(?![^{SPACE}])|\x20?[^{SPACE}]+|[{SPACE}]")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_word = self.by_word and len(end) == 1
+        self.line_end = end[0]
+        self.stops = {c: i.tobytes() for c, i in zip(STOPS, self._ids(list(STOPS)))}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line ends. Many are encoded as one text with line ends between: there, a line end is a
+        piece of its own in the splitting rule."""
+        out: list[bytes] = []
+        for ids in self._ids(["\n".join(words[i : i + 256]) for i in range(0, len(words), 256)]):
+            cuts = np.flatnonzero(ids == self.line_end)
+            data, starts, ends = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            out += [data[i:j] for i, j in zip(starts, ends)]
+        return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _odd(part: str) -> bool:
+        """Parts whose ids depend on what stands before or behind: none, or ones that begin or end with white space."""
+        body = part[1:] if part[:1] == "\n" else part
+        return not body or body[0].isspace() or body[-1].isspace()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.frombuffer(b, np.uint32) for b in self._ids(texts)]
-        plain = [not any(a in t for a in self.added) for t in texts]  # an added token is found before words are split
-        split = [self.chunks.findall(t) if p else () for t, p in zip(texts, plain)]
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts: words after a blank, or words after a line end with that line end."""
         words, older = self.words, self.older
-        new: dict[str, bytes] = {}
-        for found in split:
-            for w in found:
-                if w not in words and w not in new:
-                    new[w] = older.get(w)  # None: to be encoded
-        missing = [w for w, ids in new.items() if ids is None]
-        new.update(zip(missing, self._ids(missing) if missing else ()))
-        whole = iter(self._ids([t for t, p in zip(texts, plain) if not p]) if not all(plain) else ())
-        words.update(new)
-        out = [np.frombuffer(b"".join([words[w] for w in found]) if p else next(whole), np.uint32) for found, p in zip(split, plain)]
+        missing = [p for p in parts if p not in words]
+        new = []
+        for p in missing:
+            if (ids := older.get(p)) is None:
+                new.append(p)
+            else:
+                words[p] = ids
+        # A sign of STOPS behind a letter is a piece of its own.
+        line = np.array([self.line_end], np.uint32).tobytes()
+        stopped = [p for p in new if p[-1] in STOPS and len(p) > 1 and p[-2].isalpha()]
+        if stopped:
+            new = list({*new, *(p[:-1] for p in stopped if p[:-1] not in words)}.difference(stopped))
+        found = self._word_ids([p[1:] if p[0] == "\n" else " " + p for p in new]) if new else []
+        words.update((p, line + i if p[0] == "\n" else i) for p, i in zip(new, found))
+        words.update((p, words[p[:-1]] + self.stops[p[-1]]) for p in stopped)
+        out = [words[p] for p in parts]
         if len(words) > WORDS_KEPT:
             self.older, self.words = words, {}
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts.
+
+        With a ByteLevel splitting rule a single blank or line end between two words begins a new piece, so each
+        different word of a batch is looked up once. Texts with other white space at the borders of words, and those
+        with an added token, which is found before words are split, go to the library as they are.
+        """
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and self.by_word and not any(a in t for a in self.added)]
+        if plain:
+            parts = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+            per_text = np.diff(parts.offsets.to_numpy())
+            coded = parts.flatten().dictionary_encode()
+            index, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            odd = np.array([self._odd(p) for p in different], bool)
+            fine = np.bincount(np.repeat(np.arange(len(plain)), per_text), odd[index], len(plain)) == 0
+            ids = iter(self._known([p for p, o in zip(different, odd) if not o]))
+            ids = [b"" if o else next(ids) for o in odd]
+            size = np.array([len(i) // 4 for i in ids], np.int64)
+            flat, begins = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+            n = size[index]
+            ends = np.cumsum(n)
+            whole = flat[np.repeat(begins[index] - (ends - n), n) + np.arange(n.sum())]
+            last = np.append(0, ends)[np.cumsum(per_text)]
+            for k, i in enumerate(plain):
+                if fine[k]:  # without the line end that was put before the text
+                    out[i] = whole[(last[k - 1] if k else 0) + 1 : last[k]]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._ids([texts[i] for i in rest]) if rest else ()):
+            out[i] = x
+        return out
+
 
 _OPEN: dict[str, Encoder] = {}
 
@@ -245,7 +307,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
 
         for b in batches:
             keys, texts = b.column("_id").to_pylist(), b.column("_text").to_pylist()
-            for lo, hi in _slices(texts, 2_000_000):
+            for lo, hi in _slices(texts, TOGETHER):
                 for key, found in zip(keys[lo:hi], e.encode(texts[lo:hi])):
                     if ids and size + len(found) > shard_ids:
                         yield flush()
