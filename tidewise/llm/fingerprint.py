@@ -108,7 +108,7 @@ def in_order(df: DataFrame, parts: int) -> DataFrame:
     found = df.select(F.percentile_approx("_id", F.array(*[F.lit(f) for f in fractions]), 20 * parts)).first()[0] if fractions else None
     bounds = sorted(set(found or []))
     part = _part(F.col("_id"), bounds)
-    # A row for each range: its first id.
+    # A row for each range: its first id. There are at most ``parts`` of them, so they may be broadcast.
     heads = df.groupBy(part.alias("p")).agg(F.min("_id").alias("first"), F.max(F.col("_id").isNull()).alias("null")).orderBy("p").collect()
     starts = df.sparkSession.createDataFrame(
         [(None if h["null"] else h["first"], heads[i - 1]["p"]) for i, h in enumerate(heads)], "_first long, _before int"
@@ -117,7 +117,7 @@ def in_order(df: DataFrame, parts: int) -> DataFrame:
     copies = F.when(
         F.col("_before").isNotNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("t")), F.struct(F.col("_before").alias("p"), F.lit(1).alias("t")))
     ).otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("t"))))
-    spread = own.join(starts, F.col("_id").eqNullSafe(F.col("_first")), "left").select("_id", "_text", F.explode(copies).alias("_c"))
+    spread = own.join(F.broadcast(starts), F.col("_id").eqNullSafe(F.col("_first")), "left").select("_id", "_text", F.explode(copies).alias("_c"))
     rows = spread.select("_id", "_text", F.col("_c.p").alias("_part"), F.col("_c.t").alias("_tail"))
     return rows.repartition(parts, "_part").sortWithinPartitions("_part", "_tail", "_id", "_text")
 
