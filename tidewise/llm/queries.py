@@ -86,6 +86,12 @@ def op3_nearest_neighbours(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op5_jaccard_join(spark, sf_dir):
+    from tidewise.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_fingerprints(spark, sf_dir):
     from tidewise.llm import fingerprint
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_url_filters": op4_url_filters,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op9_language_id": op9_language_id,
