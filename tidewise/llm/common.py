@@ -36,3 +36,10 @@ def lower_ascii(text: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -23,6 +23,12 @@ def op4_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op8_repeated_strings(spark, sf_dir):
+    from tidewise.llm import suffix
+
+    return suffix.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark, sf_dir):
     from tidewise.llm import langid
 
@@ -116,6 +122,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
+    "op8_repeated_strings": op8_repeated_strings,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
