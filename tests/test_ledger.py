@@ -42,6 +42,42 @@ def test_accounts_without_rejects_equal_the_fold(spark):
     assert key(L.holdings(df, ("n",), 5000.0, hot_rows=5)) == key(L.fold_all(df, ("n",), 5000.0))
 
 
+ODD_TRADES = [
+    ("h", 1, "a", "buy", 10.0, 5.0),
+    ("h", 2, "A", "Buy", 2.0, 5.0),
+    ("h", 3, "A", "BUY", 1.0, None),
+    ("h", 4, "A", "buy", float("nan"), 5.0),
+    ("h", 5, None, "buy", 1.0, 5.0),
+    ("h", 6, "", "sell", 1.0, 5.0),
+    ("h", 7, "A", None, 1.0, 5.0),
+    ("h", 8, "A", "hold", 1.0, 5.0),
+    ("h", 9, "A", "Sell", 0.0, 5.0),
+    ("h", 10, "A", "sELL", 3.0, 6.0),
+    ("h", 11, "A", "buy", None, 6.0),
+    ("h", 12, "A", "buy", 1.0, float("nan")),
+]
+
+
+def test_size_of_an_account_changes_no_result(spark):
+    df = spark.createDataFrame(ODD_TRADES + TRADES, SCHEMA)
+    key = lambda d: sorted((r["portfolio"], r["symbol"] or "", r["shares"], r["avg_cost"], round(r["cash"], 6), r["accepted"], r["rejected"]) for r in d.collect())
+    small, large = (key(L.holdings(df, ("n",), 1000.0, hot_rows=n)) for n in (10**9, 1))
+    assert small == large and ("h", "A", 9.0, 5.0, 958.0, 3, 9) in small
+    moves = spark.createDataFrame([(1, i, a) for i, a in enumerate([10.0, None, 5.0, float("nan"), -3.0, 0.0, 2e6])], "user_id long, event_id long, amount double")
+    rows = lambda n: sorted((r["event_id"], r["status"], r["balance"]) for r in L.cash_fold(moves, ["user_id"], ("event_id",), hot_rows=n).collect())
+    assert rows(1) == rows(10**9) and [b for *_, b in rows(1)] == [10, 10, 15, 15, 12, 12, 12]
+
+
+def test_unmapped_holdings_and_unknown_factors_stay(spark):
+    shocks = S.shocks(spark, {"s": {"oil_price": 0.5}, "nobody": {"no_such_factor": 1.0}})
+    impacts = N.sector_impacts(S.sensitivity(spark), shocks)
+    held = spark.createDataFrame([("p", "XLK", 0.5), ("p", "SPY", 0.5)], "portfolio string, etf string, w double")
+    runs = {r["scenario"]: r for r in N.simulate(N.exposures(held, S.sector_dim(spark), impacts)).collect()}
+    xlk = {r["scenario"]: r["impact"] for r in impacts.filter("sector = 'technology'").collect()}
+    assert runs["s"]["current"] == pytest.approx(xlk["s"] / 2) == pytest.approx(runs["s"]["traditional"])
+    assert xlk["nobody"] == 0 and runs["nobody"]["current"] == 0
+
+
 def test_cash_fold(spark):
     moves = spark.createDataFrame([(1, 1, 50.0), (1, 2, -80.0), (1, 3, -20.0), (1, 4, 2e6), (2, 5, -1.0)], "user_id long, event_id long, amount double")
     got = {r["event_id"]: (r["status"], r["balance"]) for r in L.cash_fold(moves, ["user_id"], ("event_id",)).collect()}
@@ -91,6 +127,13 @@ def test_stream_ledger_equals_batch(spark, tmp_path):
     assert [(x["symbol"], x["shares"], x["avg_cost"]) for x in got["p"]["positions"]] == [("A", 15.0, 10.56)]
 
 
+def test_a_stream_reads_its_table_only(spark, tmp_path):
+    whole = spark.range(40).selectExpr("id AS n")
+    whole.repartition(3).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(5).selectExpr("id AS n").write.parquet(str(tmp_path / "a_old.parquet"))
+    assert M.drain(M.read_table(spark, str(tmp_path), "a", files=1)).count() == 40
+
+
 def test_late_ticks_are_dropped(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     schema = "symbol string, ts timestamp, event_id long, price double"

@@ -11,6 +11,7 @@ from tidewise.operators import forecast as T
 from tidewise.operators import portfolio as P
 from tidewise.operators import regimes as R
 from tidewise.operators import series as W
+from tidewise.operators import stats as M
 
 
 def panel(spark, n=600):
@@ -204,3 +205,15 @@ def test_optimiser_prefers_the_obvious_asset(spark):
     o = {r["objective"]: r["w"] for r in P.optimise(mom, 2, 10).collect()}
     assert o["max_returns"] == [1.0, 0.0] and o["min_volatility"] == [0.0, 1.0]
     assert P.objective_name("max_return") == "max_returns" and P.objective_name("?") == "max_sharpe"
+
+
+def test_pairs_and_estimates_have_one_form(spark):
+    names = [f"v{i}" for i in range(8)]
+    none = spark.createDataFrame([], ", ".join(f"{n} double" for n in names))
+    few, many = [(a, b) for a in names[:2] for b in names[:2] if a < b], [(a, b) for a in names for b in names if a < b]
+    for pairs in (few, many):
+        assert sorted((r["a"], r["b"], r["corr"], r["n"]) for r in M.correlation(none, pairs).collect()) == [(a, b, None, 0) for a, b in sorted(pairs)]
+    rows = [(float(i % 7), float(i % 5), float(i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "y double, t double, c double")
+    small, large = (E.estimate(d, "y", "t", ["c"], F.xxhash64("y", "t", "c")) for d in (df.limit(50), df))
+    assert small.dtypes == large.dtypes and small.first()["method"] == "insufficient_data" and large.first()["sample_size"] == 150

@@ -140,3 +140,11 @@ def test_indicators_match_pandas(spark):
 def test_zero_price_gives_null(spark):
     r = X.returns(bars_of(spark, [1.0, 0.0, 2.0])).orderBy("ts").toPandas()
     assert r["r"][1] == -1 and np.isnan(r["r"][2]) and r["lr"][1:].isna().all()
+
+
+def test_frames_longer_than_a_block(spark):
+    df = spark.range(1000).selectExpr("'a' AS symbol", "id AS ts", "CAST(id AS DOUBLE) AS x")
+    layout = W.Layout(("symbol",), ("ts",), 32)
+    got = W.windowed(df, layout, [lambda w: {"m": F.sum("x").over(w.rowsBetween(-299, 0))}], back=299)
+    want = W.windowed(df, W.Layout(("symbol",), ("ts",)), [lambda w: {"m": F.sum("x").over(w.rowsBetween(-299, 0))}])
+    assert sorted((r["ts"], r["m"]) for r in got.collect()) == sorted((r["ts"], r["m"]) for r in want.collect())

@@ -17,6 +17,8 @@ from tidewise.session import checkpointed
 from tidewise.sources import tables as S
 
 MIN_ROWS = 100
+#: Rows whose bootstrap weights are held at once.
+CHUNK = 1000
 
 
 def ols_effects(df: DataFrame, jobs: list[tuple[str, str, list[str]]], group: Column | None = None) -> DataFrame:
@@ -119,7 +121,7 @@ def poisson_weights(row: np.ndarray, reps: int, seed: int = 42) -> np.ndarray:
 
 
 def bootstrap_ols(
-    df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, reps: int = 200
+    df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, reps: int = 1000
 ) -> DataFrame:
     """Effect with bootstrap error, interval and p-value.
 
@@ -131,7 +133,7 @@ def bootstrap_ols(
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc, n = np.zeros((reps + 1, k * k)), 0
-        for b in batches:
+        for b in (whole.iloc[i : i + CHUNK] for whole in batches for i in range(0, len(whole), CHUNK)):
             x = np.column_stack([np.ones(len(b)), b[cols].to_numpy(dtype=float)])
             outer = (x[:, :, None] * x[:, None, :]).reshape(len(b), k * k)
             w = np.column_stack([np.ones(len(b)), poisson_weights(b["_id"].to_numpy(), reps)])
@@ -184,7 +186,7 @@ def placebo(df: DataFrame, outcome: str, treatment: str, confounders: list[str],
 # ---------------------------------------------------------------- weighting
 
 
-def ipw(df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, reps: int = 200) -> DataFrame:
+def ipw(df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, reps: int = 500) -> DataFrame:
     """Inverse propensity weighting: treatment split at its median, propensities limited to [.01, .99]."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -330,21 +332,32 @@ def cate_subgroups(df: DataFrame, outcome: str, treatment: str, confounders: lis
 # ---------------------------------------------------------------- dispatch and sensitivity
 
 
+#: Columns of an estimate.
+ESTIMATE = {
+    "method": "string", "outcome": "string", "treatment": "string", "ate": "double", "standard_error": "double",
+    "ci_lower": "double", "ci_upper": "double", "p_value": "double", "sample_size": "long",
+}
+
+
 def estimate(df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, method: str = "auto") -> DataFrame:
-    """Effect by the named method; fewer than 100 complete rows give effect 0 with p 1."""
+    """Effect by the named method; fewer than 100 complete rows give effect 0 with p 1.
+
+    One row in every case, with the columns of ESTIMATE; what a method doesn't give is null.
+    """
     n = df.dropna(subset=[outcome, treatment, *confounders]).limit(MIN_ROWS).count()
     if n < MIN_ROWS:
-        return df.sparkSession.createDataFrame(
-            [("insufficient_data", outcome, treatment, 0.0, 1.0)],
-            "method string, outcome string, treatment string, ate double, p_value double",
-        )
-    if method == "ipw":
-        return ipw(df, outcome, treatment, confounders, row_id)
-    if method == "dml":
-        return dml(residuals(df, [outcome, treatment], confounders, row_id), outcome, treatment)
-    if method == "ols":
-        return bootstrap_ols(df, outcome, treatment, confounders, row_id).withColumn("method", F.lit("ols"))
-    return ols_effects(df, [(outcome, treatment, confounders)]).withColumn("method", F.lit("backdoor_linear"))
+        row = [("insufficient_data", outcome, treatment, 0.0, 1.0, n)]
+        found = df.sparkSession.createDataFrame(row, "method string, outcome string, treatment string, ate double, p_value double, sample_size long")
+    elif method == "ipw":
+        found = ipw(df, outcome, treatment, confounders, row_id)
+    elif method == "dml":
+        found = dml(residuals(df, [outcome, treatment], confounders, row_id), outcome, treatment)
+    elif method == "ols":
+        found = bootstrap_ols(df, outcome, treatment, confounders, row_id).withColumn("method", F.lit("ols"))
+    else:
+        found = ols_effects(df, [(outcome, treatment, confounders)]).withColumn("method", F.lit("backdoor_linear"))
+    fixed = {"outcome": F.lit(outcome), "treatment": F.lit(treatment)}
+    return found.select(*[(F.col(c) if c in found.columns else fixed.get(c, F.lit(None))).cast(k).alias(c) for c, k in ESTIMATE.items()])
 
 
 def unmeasured(df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, strengths=(0.1, 0.2, 0.3, 0.5)) -> DataFrame:

@@ -185,9 +185,9 @@ def ewma_forecast(returns: DataFrame, x: str = "r", steps: int = 21) -> DataFram
 
 
 def historical_mean(returns: DataFrame, x: str = "r", horizon: int = 21) -> DataFrame:
-    """Mean and deviation of the history, repeated for at most 30 steps."""
+    """Mean and deviation of the history, repeated for every step of the horizon."""
     m = returns.groupBy("symbol").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
-    return m.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(min(horizon, 30)))).alias("step"), "mean", "std")
+    return m.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "mean", "std")
 
 
 def simple_models(returns: DataFrame, x: str = "r", spans: dict[str, tuple[int, int]] | None = None) -> DataFrame:

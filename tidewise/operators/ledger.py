@@ -18,17 +18,35 @@ OPENING_CASH = 1_000_000.0
 # ---------------------------------------------------------------- validation
 
 
-def trade_reason(symbol: Column, side: Column, shares: Column) -> Column:
+def _number(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
+def trade_reason(symbol: Column, side: Column, shares: Column, price: Column | None = None) -> Column:
     """Why a trade is rejected before any balance is looked at; null if it is not."""
-    return (
+    reason = (
         F.when(symbol.isNull() | (symbol == ""), "symbol_required")
         .when(~F.lower(side).isin("buy", "sell") | side.isNull(), "bad_action")
-        .when(shares.isNull() | (shares <= 0), "bad_shares")
+        .when(~(_number(shares) & (shares > 0)), "bad_shares")
     )
+    return reason if price is None else reason.when(~(_number(price) & (price >= 0)), "bad_price")
+
+
+def checked(trades: DataFrame) -> DataFrame:
+    """Trades as every path applies them: symbols in upper case, sides in lower case, and ``is_valid``."""
+    if "is_valid" in trades.columns:
+        return trades
+    reason = trade_reason(F.col("symbol"), F.col("side"), F.col("shares"), F.col("price"))
+    return trades.withColumns({"is_valid": reason.isNull(), "symbol": F.upper("symbol"), "side": F.lower("side")})
+
+
+def move_valid(amount: Column) -> Column:
+    """Whether a cash move (deposit above zero, withdrawal below) may be applied at all."""
+    return _number(amount) & (amount != 0) & (amount <= MAX_DEPOSIT)
 
 
 def deposit_reason(amount: Column) -> Column:
-    return F.when(amount.isNull() | (amount <= 0), "not_positive").when(amount > MAX_DEPOSIT, "above_maximum")
+    return F.when(~(_number(amount) & (amount > 0)), "not_positive").when(amount > MAX_DEPOSIT, "above_maximum")
 
 
 def check_weights(weights: DataFrame) -> DataFrame:
@@ -40,9 +58,9 @@ def check_weights(weights: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the fold
 
 
-def step(cash: float, held: dict, symbol: str, side: str, shares: float, price: float) -> tuple[float, str]:
-    """Apply one trade to the state in place; returns the new cash and the outcome."""
-    if not symbol or side not in ("buy", "sell") or not shares > 0:
+def step(cash: float, held: dict, valid: bool, symbol: str, side: str, shares: float, price: float) -> tuple[float, str]:
+    """Apply one checked trade to the state in place; returns the new cash and the outcome."""
+    if not valid:
         return cash, "invalid"
     cost = price * shares
     have, avg = held.get(symbol, (0.0, 0.0))
@@ -74,6 +92,7 @@ def holdings(
     accepted: running cash and positions come from block scans, and if they never fall below zero nothing is
     rejected and the result is sums. Only hot accounts that do reject something are streamed in order.
     """
+    trades = checked(trades)
     sizes = trades.groupBy("portfolio").agg(F.count(F.lit(1)).alias("_n"))
     hot = checkpointed(sizes.filter(F.col("_n") > hot_rows).select("portfolio"))
     if hot.isEmpty():
@@ -87,11 +106,10 @@ def holdings(
 
 def _moves(trades: DataFrame) -> DataFrame:
     """Signed shares and cash of valid trades; invalid ones move nothing."""
-    valid = trade_reason(F.col("symbol"), F.col("side"), F.col("shares")).isNull()
+    valid = F.col("is_valid")
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
     return trades.withColumns(
         {
-            "_valid": valid,
             "_shares": F.when(valid, sign * F.col("shares")).otherwise(0.0),
             "_cash": F.when(valid, -sign * F.col("shares") * F.col("price")).otherwise(0.0),
         }
@@ -104,7 +122,7 @@ def _rejecting(trades: DataFrame, order: tuple[str, ...], opening: float) -> Dat
     by_account = W.block_layout(moves, ("portfolio",), order)
     cash = W.running(moves, by_account, {"_run": ("sum", F.col("_cash"))}).filter(F.col("_run") + opening < 1e-6)
     by_symbol = W.Layout(("portfolio", "symbol"), order, by_account.block)
-    held = W.running(moves.filter("_valid"), by_symbol, {"_run": ("sum", F.col("_shares"))})
+    held = W.running(moves.filter("is_valid"), by_symbol, {"_run": ("sum", F.col("_shares"))})
     short = held.filter((F.col("_run") < 0) | ((F.col("_run") != 0) & (F.abs("_run") < 1e-9)))
     return cash.select("portfolio").unionByName(short.select("portfolio")).distinct()
 
@@ -118,14 +136,14 @@ def _accepted(trades: DataFrame, order: tuple[str, ...], opening: float) -> Data
     moves = _moves(trades)
     account = moves.groupBy("portfolio").agg(
         (F.sum("_cash") + opening).alias("cash"),
-        F.count_if("_valid").alias("accepted"),
-        F.count_if(~F.col("_valid")).alias("rejected"),
+        F.count_if("is_valid").alias("accepted"),
+        F.count_if(~F.col("is_valid")).alias("rejected"),
     )
     layout = W.block_layout(moves, ("portfolio", "symbol"), order)
-    run = W.running(moves.filter("_valid"), layout, {"_run": ("sum", F.col("_shares"))})
+    run = W.running(moves.filter("is_valid"), layout, {"_run": ("sum", F.col("_shares"))})
     empty = run.filter(F.col("_run") == 0).groupBy("portfolio", "symbol").agg(F.max("pos").alias("_zero"))
     live = run.join(empty, ["portfolio", "symbol"], "left").filter(F.col("pos") > F.coalesce("_zero", F.lit(-1)))
-    bought = live.filter("side = 'buy' OR side = 'sell'").select("portfolio", "symbol", "side", "shares", "price", "pos")
+    bought = live.select("portfolio", "symbol", "side", "shares", "price", "pos")
     ordered = bought.repartition("portfolio", "symbol").sortWithinPartitions("portfolio", "symbol", "pos").drop("pos")
 
     def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +155,7 @@ def _accepted(trades: DataFrame, order: tuple[str, ...], opening: float) -> Data
                     if key is not None:
                         out.append((*key, *held[key[1]]))
                     key, held = (p, sym), {}
-                step(float("inf"), held, sym, side, n, price)
+                step(float("inf"), held, True, sym, side, n, price)
             if out:
                 yield pd.DataFrame(out, columns=["portfolio", "symbol", "shares", "avg_cost"])
         if key is not None:
@@ -152,9 +170,10 @@ def _accepted(trades: DataFrame, order: tuple[str, ...], opening: float) -> Data
 
 def fold_all(trades: DataFrame, order: tuple[str, ...], opening: float = OPENING_CASH) -> DataFrame:
     """The plain fold: each portfolio is read as a stream of sorted Arrow batches; memory holds its positions."""
-    cols = ["portfolio", "symbol", "side", "shares", "price"]
+    cols = ["portfolio", "is_valid", "symbol", "side", "shares", "price"]
     ordered = (
-        trades.select(*cols, F.struct(*order).alias("_o"))
+        checked(trades)
+        .select(*cols, F.struct(*order).alias("_o"))
         .repartition("portfolio")
         .sortWithinPartitions("portfolio", "_o")
         .select(*cols)
@@ -170,12 +189,12 @@ def fold_all(trades: DataFrame, order: tuple[str, ...], opening: float = OPENING
         names = ["portfolio", "cash", "symbol", "shares", "avg_cost", "accepted", "rejected"]
         for b in batches:
             out = []
-            for p, sym, side, n, price in b.itertuples(index=False):
+            for p, valid, sym, side, n, price in b.itertuples(index=False):
                 if p != key:
                     if key is not None:
                         out += rows()
                     key, cash, held, good, bad = p, opening, {}, 0, 0
-                cash, what = step(cash, held, sym, side, n, price)
+                cash, what = step(cash, held, valid, sym, side, n, price)
                 good, bad = good + (what == "ok"), bad + (what != "ok")
             if out:
                 yield pd.DataFrame(out, columns=names)
@@ -228,7 +247,7 @@ def cash_fold(moves: DataFrame, keys: list[str], order: tuple[str, ...], hot_row
     if hot.isEmpty():
         return _cash_stream(moves, key, order)
     amount = F.col("amount")
-    valid = (amount != 0) & (amount <= MAX_DEPOSIT)
+    valid = move_valid(amount)
     big = checkpointed(moves.join(hot, key, "left_semi"))
     run = checkpointed(
         W.running(big, W.block_layout(big, (key,), order), {"balance": ("sum", F.when(valid, amount).otherwise(0.0))})
@@ -244,7 +263,7 @@ def cash_fold(moves: DataFrame, keys: list[str], order: tuple[str, ...], hot_row
 def _cash_stream(moves: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """Streams each account in sorted batches; the state is one number."""
     ordered = (
-        moves.select(key, "event_id", "amount", F.struct(*order).alias("_o"))
+        moves.select(key, "event_id", "amount", move_valid(F.col("amount")).alias("is_valid"), F.struct(*order).alias("_o"))
         .repartition(key)
         .sortWithinPartitions(key, "_o")
         .drop("_o")
@@ -254,10 +273,10 @@ def _cash_stream(moves: DataFrame, key: str, order: tuple[str, ...]) -> DataFram
         who, balance = None, 0.0
         for b in batches:
             states, balances = [], []
-            for k, _, a in b.itertuples(index=False):
+            for k, _, a, valid in b.itertuples(index=False):
                 if k != who:
                     who, balance = k, 0.0
-                if a == 0 or a > MAX_DEPOSIT:
+                if not valid:
                     states.append("invalid")
                 elif a < 0 and -a > balance:
                     states.append("insufficient_funds")
@@ -265,7 +284,7 @@ def _cash_stream(moves: DataFrame, key: str, order: tuple[str, ...]) -> DataFram
                     balance += a
                     states.append("ok")
                 balances.append(balance)
-            yield b.assign(status=states, balance=balances)
+            yield b.drop(columns="is_valid").assign(status=states, balance=balances)
 
     kind = moves.schema[key].dataType.simpleString()
     return ordered.mapInPandas(fold, f"{key} {kind}, {CASH}")

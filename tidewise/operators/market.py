@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewise.session import checkpointed
+
 
 def top(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     """First ``n`` rows in a total order with their place.
@@ -16,6 +18,18 @@ def top(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """All rows with their place in a total order. Slices of the order are numbered on their own and then shifted."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()))
+    size = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    start = size.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    numbered = cut.withColumn("_k", place).join(start, "_slice")
+    return numbered.withColumn("place", F.col("_k") + F.col("_start")).drop("_slice", "_k", "_start")
+
+
 def search(quotes: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """Instruments whose symbol or name contains the text; exact symbol first, then market value."""
     up, low = text.upper(), text.lower()

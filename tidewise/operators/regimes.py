@@ -109,18 +109,20 @@ def label_states(states: DataFrame, r: str = "r") -> DataFrame:
 
 
 def statistics(states: DataFrame, layout: W.Layout = W.DAILY, r: str = "r") -> DataFrame:
-    """Annual mean return and volatility, Sharpe ratio, frequency and mean duration of each regime."""
+    """Annual mean return, mean of the volatility feature, Sharpe ratio (by the deviation of returns), frequency and mean
+    duration of each regime."""
     runs = W.run_lengths(states, layout, "regime").groupBy("regime").agg(F.avg("length").alias("avg_duration"))
     stats = states.groupBy("regime").agg(
         F.count(F.lit(1)).alias("n"),
         (F.avg(r) * K.TRADING_DAYS).alias("mean_return"),
-        C.annual_volatility(F.stddev_samp(r)).alias("volatility"),
+        F.avg("volatility").alias("volatility"),
+        C.annual_volatility(F.stddev_samp(r)).alias("_deviation"),
     )
     total = Window.partitionBy()
     # at most a handful of regimes: a window over the grouped result
     stats = stats.withColumn("frequency", F.col("n") / F.sum("n").over(total))
-    sharpe = F.coalesce(F.try_divide("mean_return", F.when(F.col("volatility") > 0, F.col("volatility"))), F.lit(0.0))
-    return stats.withColumn("sharpe_ratio", sharpe).join(runs, "regime")
+    sharpe = F.coalesce(F.try_divide("mean_return", F.when(F.col("_deviation") > 0, F.col("_deviation"))), F.lit(0.0))
+    return stats.withColumn("sharpe_ratio", sharpe).drop("_deviation").join(runs, "regime")
 
 
 def distribution(states: DataFrame) -> DataFrame:

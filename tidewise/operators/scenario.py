@@ -17,12 +17,16 @@ PS = ("portfolio", "scenario")
 
 
 def sector_impacts(sens: DataFrame, shocks: DataFrame) -> DataFrame:
-    """Impact of every scenario on every sector; a missing coefficient counts as zero.
+    """Impact of every scenario on every sector; a missing coefficient, or a factor nobody knows, counts as zero.
 
     ``rank`` is the place from worst to best, ties in matrix order; ``sectors`` the number of sectors.
     """
-    hit = shocks.join(sens, "factor").groupBy("scenario", "sord", "sector", "ord")
-    hit = hit.agg(F.sum(F.col("coef") * F.col("change")).alias("impact"))
+    known = shocks.join(sens, "factor").select("scenario", "sord", "sector", "ord", (F.col("coef") * F.col("change")).alias("_i"))
+    # Every scenario meets every sector: as many rows as the result has.
+    sectors = sens.groupBy().agg(F.collect_set(F.struct("sector", "ord")).alias("_s"))
+    none = shocks.select("scenario", "sord").distinct().withColumn("_s", sectors.scalar())
+    none = none.select("scenario", "sord", F.inline("_s")).withColumn("_i", F.lit(0.0))
+    hit = known.unionByName(none).groupBy("scenario", "sord", "sector", "ord").agg(F.sum("_i").alias("impact"))
     w = Window.partitionBy("scenario")
     return hit.withColumns(
         {
@@ -36,18 +40,25 @@ def sector_impacts(sens: DataFrame, shocks: DataFrame) -> DataFrame:
 def exposures(weights: DataFrame, funds: DataFrame, impacts: DataFrame) -> DataFrame:
     """One row per portfolio, scenario and held fund with its sector's impact.
 
-    ``funds`` maps tickers to sectors; an unknown ticker stands for itself in lower case.
+    ``funds`` maps tickers to sectors; an unknown ticker stands for itself in lower case. Holdings whose sector has no
+    impact in a scenario stay, with impact 0 and no rank.
     """
     held = weights.join(funds.select("etf", F.col("sector").alias("_s")), "etf", "left")
     held = held.withColumn("sector", F.coalesce("_s", F.lower("etf"))).drop("_s")
-    return held.join(impacts, "sector")
+    known = impacts.select("sector").distinct().withColumn("_key", F.col("sector"))
+    held = held.join(known, "sector", "left").withColumn("_key", F.coalesce("_key", F.lit("")))
+    rest = [c for c in impacts.columns if c not in ("scenario", "sord", "sector", "sectors", "mean_impact", "impact")]
+    scenarios = impacts.select("scenario", "sord", "sectors", "mean_impact").distinct()
+    other = scenarios.select("*", F.lit("").alias("_key"), F.lit(0.0).alias("impact"), *[F.lit(None).cast(impacts.schema[c].dataType).alias(c) for c in rest])
+    full = impacts.withColumnRenamed("sector", "_key").unionByName(other)
+    return held.join(full, "_key").drop("_key")
 
 
 def reweight(exposed: DataFrame) -> DataFrame:
     """Causal weights: the three worst sectors give up 30 % where held above 5 %, shared by held best three."""
     w = Window.partitionBy(*PS)
     give = F.when((F.col("rank") <= 3) & (F.col("w") > 0.05), F.col("w") * 0.3).otherwise(0.0)
-    best = F.col("rank") > F.col("sectors") - 3
+    best = F.coalesce(F.col("rank") > F.col("sectors") - 3, F.lit(False))
     df = exposed.withColumns({"_give": give, "_best": best}).withColumns(
         {"_pool": F.sum("_give").over(w), "_k": F.sum(F.col("_best").cast("int")).over(w)}
     )

@@ -84,7 +84,9 @@ def pairwise(df: DataFrame, pairs: list[tuple[str, str]], aggs: dict[str, callab
         items = F.array(
             *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("_x"), F.col(b).alias("_y")) for a, b in pairs]
         )
-        long = df.select(F.inline(items))
+        none = df.sparkSession.range(1).select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+        # A row without values for each pair, so that pairs appear whatever the table holds.
+        long = df.unionByName(none).select(F.inline(items))
         return long.groupBy("a", "b").agg(*[fn(F.col("_x"), F.col("_y")).alias(n) for n, fn in aggs.items()])
     exprs = [
         fn(F.col(a), F.col(b)).alias(f"{name}_{k}") for k, (a, b) in enumerate(pairs) for name, fn in aggs.items()

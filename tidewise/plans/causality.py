@@ -457,7 +457,7 @@ def ols_effect(spark, d):
 def bootstrap_effect(spark, d):
     li = S.table(spark, d, "lineitem")
     row = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return E.bootstrap_ols(li, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], row, reps=100)
+    return E.bootstrap_ols(li, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], row)
 
 
 @query("placebo_effect", "E2")
@@ -470,7 +470,7 @@ def placebo_effect(spark, d):
 @query("dml_effect", "E3")
 def dml_effect(spark, d):
     m = X.feature_matrix(spark, d)
-    res = E.residuals(m, ["Technology_Return_1d", "SP500_Return"], ["VIX_Change", "Treasury_10Y"], F.unix_date("ts"), folds=3, trees=20)
+    res = E.residuals(m, ["Technology_Return_1d", "SP500_Return"], ["VIX_Change", "Treasury_10Y"], F.unix_date("ts"))
     return E.dml(res, "Technology_Return_1d", "SP500_Return")
 
 
@@ -478,7 +478,7 @@ def dml_effect(spark, d):
 def ipw_effect(spark, d):
     li = S.table(spark, d, "lineitem")
     row = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return E.ipw(li, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], row, reps=100)
+    return E.ipw(li, "l_extendedprice", "l_quantity", ["l_discount", "l_tax"], row)
 
 
 @query(
@@ -497,7 +497,7 @@ def weighted_difference(spark, d):
 @query("effect_modifiers", "E6")
 def effect_modifiers(spark, d):
     m = X.feature_matrix(spark, d)
-    res = E.residuals(m, ["Energy_Return_1d", "SP500_Return"], ["VIX_Change"], F.unix_date("ts"), folds=2, trees=10, depth=4)
+    res = E.residuals(m, ["Energy_Return_1d", "SP500_Return"], ["VIX_Change"], F.unix_date("ts"))
     return E.cate_modifiers(res, "Energy_Return_1d", "SP500_Return", ["VIX", "Treasury_10Y"])
 
 

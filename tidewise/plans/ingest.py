@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewise.operators import features as X
 from tidewise.registry import query
+from tidewise.session import scratch_dir
 from tidewise.sources import jsoncols as J
 from tidewise.sources import lake as L
 from tidewise.sources import tables as S
@@ -58,7 +57,7 @@ def macro_wide_named(spark, d):
 
 @query("save_and_load", "S4 S5", "SELECT symbol, ts, close, volume FROM bars", dates="ts")
 def save_and_load(spark, d):
-    lake = L.Lake(spark, tempfile.mkdtemp(prefix="tidewise-lake-"))
+    lake = L.Lake(spark, scratch_dir(spark, "lake"))
     lake.save(S.bars(spark, d).select("symbol", "ts", "close", "volume"), "bars")
     missing = lake.load("no_such_table")
     assert missing is None
@@ -71,7 +70,7 @@ def save_and_load(spark, d):
     "SELECT symbol, count(*) AS n FROM bars GROUP BY symbol",
 )
 def materialise_once(spark, d):
-    lake = L.Lake(spark, tempfile.mkdtemp(prefix="tidewise-lake-"))
+    lake = L.Lake(spark, scratch_dir(spark, "lake"))
     lake.once("bars", lambda: S.bars(spark, d))
     again = lake.once("bars", lambda: spark.range(0).toDF("never"))
     return again.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))

@@ -352,20 +352,19 @@ def instrument_search(spark, d):
 def trending(spark, d):
     q = S.quotes(spark, d).filter(F.col("previous_close").isNotNull())
     change = (F.col("price") - F.col("previous_close")) / F.col("previous_close") * 100
-    top = Q.top(q.select("symbol", change.alias("change")), [F.round(F.abs("change"), 9).desc(), "symbol"], 100)
+    top = Q.ranked(q.select("symbol", change.alias("change")), [F.round(F.abs("change"), 9).desc(), F.col("symbol")])
     return top.select("symbol", "change", "place")
 
 
 @query(
     "newest_first",
     "T9",
-    """SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders
-       QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) <= 50""",
+    """SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders""",
     dates="o_orderdate",
 )
 def newest_first(spark, d):
     o = S.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    return Q.top(o, [F.desc("o_orderdate"), "o_orderkey"], 50)
+    return Q.ranked(o, [F.desc("o_orderdate"), F.col("o_orderkey")])
 
 
 @query(
@@ -438,7 +437,7 @@ def ordered_distinct(spark, d):
 def key_union(spark, d):
     a = S.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"))
     b = S.table(spark, d, "orders").select(F.col("o_orderstatus").alias("name"))
-    return Q.top(a.unionByName(b).distinct(), ["name"], 1000)
+    return Q.ranked(a.unionByName(b).distinct(), [F.col("name")])
 
 
 # ---------------------------------------------------------------- model registry

@@ -30,7 +30,7 @@ FEATS = f"""rr AS (SELECT symbol, ts, lr AS r FROM rets WHERE lr IS NOT NULL),
          FROM ft JOIN ru USING (symbol) WHERE recent_return IS NOT NULL)"""
 FIXED = f"""rr AS (SELECT symbol, ts, lr / 25 AS r FROM rets WHERE lr IS NOT NULL),
   ft AS (SELECT symbol, ts, r, {full('stddev_samp', 'r', 21)} * sqrt(252) AS volatility, {full('avg', 'r', 21)} * 252 AS recent_return FROM rr),
-  cl AS (SELECT symbol, ts, r, CASE WHEN volatility > 0.25 * 1.5 AND recent_return < -0.10 THEN 'crisis' WHEN recent_return > 0.15 THEN 'bull'
+  cl AS (SELECT symbol, ts, r, volatility, CASE WHEN volatility > 0.25 * 1.5 AND recent_return < -0.10 THEN 'crisis' WHEN recent_return > 0.15 THEN 'bull'
          WHEN recent_return < -0.10 THEN 'bear' ELSE 'sideways' END AS regime FROM ft WHERE recent_return IS NOT NULL)"""
 
 
@@ -132,12 +132,12 @@ def regime_history(spark, d):
     "A15 W14",
     f"""WITH {FIXED}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - row_number() OVER (PARTITION BY symbol, regime ORDER BY ts) AS g FROM cl),
         u AS (SELECT regime, avg(n) AS avg_duration FROM (SELECT symbol, regime, g, count(*) AS n FROM g GROUP BY 1, 2, 3) GROUP BY 1),
-        s AS (SELECT regime, count(*) AS n, avg(r) * 252 AS mean_return, stddev_samp(r) * sqrt(252) AS volatility FROM cl GROUP BY 1)
-        SELECT s.*, n / sum(n) OVER () AS frequency, mean_return / volatility AS sharpe_ratio, avg_duration FROM s JOIN u USING (regime)""",
+        s AS (SELECT regime, count(*) AS n, avg(r) * 252 AS mean_return, avg(volatility) AS volatility, stddev_samp(r) * sqrt(252) AS deviation FROM cl GROUP BY 1)
+        SELECT regime, n, mean_return, volatility, n / sum(n) OVER () AS frequency, mean_return / deviation AS sharpe_ratio, avg_duration FROM s JOIN u USING (regime)""",
     r="mean_return volatility frequency sharpe_ratio avg_duration",
 )
 def regime_statistics(spark, d):
-    return R.statistics(fixed_regimes(spark, d).select("symbol", "ts", "regime", "r"))
+    return R.statistics(fixed_regimes(spark, d).select("symbol", "ts", "regime", "r", "volatility"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,26 @@ def local_session(cores: str = "8", app: str = "tidewise", shuffle_partitions: i
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the one the cluster names, or a fresh local one where none is named."""
+    """Folder for cut lineage: the one that ``spark.checkpoint.dir`` names, or on a local master a fresh one.
+
+    Executors of a cluster share no local folder, so there the setting is needed.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named and not current:
         spark.sparkContext.setCheckpointDir(named)
     elif not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewise-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A new folder name below the checkpoint folder, for tables and streams that a job writes on its way."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidewise-{what}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise a frame on shared storage, so that later stages survive lost executors."""
     checkpoint_dir(df.sparkSession)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.operators import ledger as L
+from tidewise.session import scratch_dir
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
-    """A table folder as a stream. Only files that belong to the table are read."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """A table as a stream: a folder of part files, or a single file, of which its folder is watched by exact name."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(sf_dir)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def tick_stream(events: DataFrame) -> DataFrame:
@@ -59,8 +62,10 @@ def freshness(quotes: DataFrame, as_of: str, seconds: int = 30) -> DataFrame:
 def ledger(trades: DataFrame, order: tuple[str, ...], opening: float = L.OPENING_CASH) -> DataFrame:
     """Trade ledger with keyed state (cash and positions); emits the changed account after each batch.
 
-    Trades of one micro-batch are applied in order; the source's ``maxFilesPerTrigger`` bounds a batch.
+    Trades of one micro-batch are applied in order; the source's ``maxFilesPerTrigger`` bounds a batch. A trade that
+    arrives in a later batch is applied then, whatever its time.
     """
+    trades = L.checked(trades)
     from pyspark.sql.streaming import StatefulProcessor
 
     kind = trades.schema["portfolio"].dataType.simpleString()
@@ -77,8 +82,8 @@ def ledger(trades: DataFrame, order: tuple[str, ...], opening: float = L.OPENING
             held = {k[0]: (v[0], v[1]) for k, v in self.held.iterator()}
             known = set(held)
             batch = pd.concat(list(rows)).sort_values(keys, ignore_index=True)
-            for sym, side, n, price in batch[["symbol", "side", "shares", "price"]].itertuples(index=False):
-                cash, what = L.step(cash, held, sym, side, n, price)
+            for valid, sym, side, n, price in batch[["is_valid", "symbol", "side", "shares", "price"]].itertuples(index=False):
+                cash, what = L.step(cash, held, valid, sym, side, n, price)
                 good, bad = good + (what == "ok"), bad + (what != "ok")
             for gone in known - set(held):
                 self.held.removeKey((gone,))
@@ -103,7 +108,7 @@ def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None) ->
     Append results add up; complete and update results are kept by batch, the last batch of a key counts.
     """
     spark = df.sparkSession
-    root = tempfile.mkdtemp(prefix="tidewise-stream-")
+    root = scratch_dir(spark, "stream")
     where = checkpoint or f"{root}/checkpoint"
 
     def store(batch: DataFrame, number: int) -> None:
