@@ -285,15 +285,17 @@ def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(special.chi2_upper(x.to_numpy(dtype=float), dof.to_numpy(dtype=float)))
 
 
-def pc_algorithm(panel: DataFrame, variables: list[str], alpha: float = 0.01, max_given: int = 3) -> DataFrame:
+def pc_algorithm(panel: DataFrame, variables: list[str], alpha: float = 0.01, max_given: int | None = None) -> DataFrame:
     """Stable PC: one Spark job per level holds all its tests; only test results reach the driver.
 
+    Levels go on until no vertex has neighbours enough, or to ``max_given`` conditions where that is named.
+
     Returns directed edges (src, dst); edges left undirected point from the earlier to the later variable.
     """
     cells = checkpointed(quantile_cells(panel, variables))
     near = {v: set(variables) - {v} for v in variables}
     apart: dict[frozenset, set] = {}
-    for level in range(max_given + 1):
+    for level in range(max(1, len(variables) - 1) if max_given is None else max_given + 1):
         frozen = {v: set(s) for v, s in near.items()}  # stable: neighbours are fixed within a level
         tests = sorted(
             {
@@ -344,13 +346,13 @@ def _orient(variables: list[str], near: dict[str, set], apart: dict[frozenset, s
 # ---------------------------------------------------------------- evidence and graphs
 
 
-def all_evidence(panel: DataFrame, variables: list[str], max_lag: int = 5) -> DataFrame:
+def all_evidence(panel: DataFrame, variables: list[str], max_lag: int = 10, shuffles: int = 100) -> DataFrame:
     """Relationships by all methods in one long table, missing fields null. Plain correlation is never causal."""
     g = best_lag(granger_lags(panel, variables, max_lag))
     c = correlation_structure(panel, variables).withColumns(
         {"method": F.lit("correlation_threshold"), "is_causal": F.lit(False)}
     )
-    t = transfer_entropy_test(binned_pairs(panel, variables), 50).select(
+    t = transfer_entropy_test(binned_pairs(panel, variables), shuffles).select(
         F.col("source").alias("cause"),
         F.col("target").alias("effect"),
         F.lit("transfer_entropy").alias("method"),
@@ -358,7 +360,11 @@ def all_evidence(panel: DataFrame, variables: list[str], max_lag: int = 5) -> Da
         "is_causal",
         F.col("n").alias("sample_size"),
     )
-    return g.unionByName(c, allowMissingColumns=True).unionByName(t, allowMissingColumns=True)
+    p = pc_algorithm(panel, variables).select(
+        F.col("src").alias("cause"), F.col("dst").alias("effect"), F.lit("pc").alias("method"), F.lit(True).alias("is_causal")
+    )
+    parts = g.unionByName(c, allowMissingColumns=True).unionByName(t, allowMissingColumns=True)
+    return parts.unionByName(p, allowMissingColumns=True)
 
 
 def consensus(evidence: DataFrame, min_methods: int = 1) -> DataFrame:

@@ -51,12 +51,12 @@ def granger_lag_one(spark, d):
 
 @query("granger_tests", "C1 T8")
 def granger_tests(spark, d):
-    return D.best_lag(D.granger_lags(panel(spark, d), SYMBOLS, 5))
+    return D.best_lag(D.granger_lags(panel(spark, d), SYMBOLS))
 
 
 @query("granger_matrix", "C2 J6")
 def granger_matrix(spark, d):
-    return D.granger_matrix(D.granger_lags(panel(spark, d), SYMBOLS, 3), SYMBOLS)
+    return D.granger_matrix(D.granger_lags(panel(spark, d), SYMBOLS), SYMBOLS)
 
 
 @query("sector_macro_granger", "C9")
@@ -64,7 +64,7 @@ def sector_macro_granger(spark, d):
     m = X.feature_matrix(spark, d)
     sectors = [f"{s}_Return_1d" for s in X.SECTORS]
     macros = ["VIX_Change", "SP500_Return", "Treasury_10Y"]
-    return D.best_lag(D.granger_lags(m, [*sectors, *macros], 3, causes=macros, effects=sectors))
+    return D.best_lag(D.granger_lags(m, [*sectors, *macros], causes=macros, effects=sectors))
 
 
 LAGCORR = f"""{PANEL}, k AS (SELECT unnest(range(1, 11)) AS k),
@@ -191,7 +191,7 @@ def pc_edges(spark, d):
 
 @query("all_evidence", "C7 U2")
 def all_evidence(spark, d):
-    return D.all_evidence(panel(spark, d), SYMBOLS, 3)
+    return D.all_evidence(panel(spark, d), SYMBOLS)
 
 
 _EV = """pv AS (SELECT event_type AS effect, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cause, 'm' || (user_id % 3) AS method,
