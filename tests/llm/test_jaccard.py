@@ -49,10 +49,8 @@ def test_query_over_all_documents(spark):
 
 
 @pytest.mark.parametrize("small,seen", [(16, 8), (2, 3), (3, 10**9)])
-def test_large_groups(spark, monkeypatch, small, seen):
+def test_large_groups(spark, small, seen):
     """Near copies of one text (edits on both sides of the threshold), chains, a passage in many texts, short texts."""
-    monkeypatch.setattr(J, "SMALL", small)
-    monkeypatch.setattr(J, "SEEN", seen)
     r = random.Random(small)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(5))
     base = [word() for _ in range(60)]
@@ -74,7 +72,7 @@ def test_large_groups(spark, monkeypatch, small, seen):
     rows = list(enumerate(texts))
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert got(J.join(df)) == brute(rows)
+    assert got(J.join(df, small=small, seen=seen)) == brute(rows)
 
 
 def test_odd_rows(spark):

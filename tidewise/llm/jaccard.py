@@ -91,14 +91,14 @@ def _signed(h: np.ndarray) -> pa.Array:
 DOCS = "kind int, a long, b long, c long"
 
 
-def _survey(batches):
+def _survey(batches, seen: int):
     """Kind 0: id, size, node of each document. Kind 1: shingle and count, of those seen often."""
     names = ["kind", "a", "b", "c"]
     kept, size = [], 0
 
     def often():
         h, c = np.unique(np.concatenate([*kept, np.empty(0, np.uint64)]), return_counts=True)
-        h, c = h[c >= SEEN], c[c >= SEEN]
+        h, c = h[c >= seen], c[c >= seen]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _signed(h), pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.int64())], names=names)
 
     for b in batches:
@@ -184,8 +184,8 @@ def _runs(f: np.ndarray):
 FOUND = "kind int, a long, b long, c int"
 
 
-def _fragment(key, blobs: pd.DataFrame) -> pd.DataFrame:
-    """Kind 0: neighbours in a group; 1: its other pairs; 2: node and number of its entries that others share; 3: shingle
+def _fragment(key, blobs: pd.DataFrame, small: int) -> pd.DataFrame:
+    """Kind 0: pair of nodes, twice the number of shared entries in small groups, plus 1 if they are neighbours in one; 3: shingle
     (or part of it), node and number of rare entries (-1: all) of large groups and frequent shingles."""
     join = lambda c: [bytes(x) for x in blobs[c]]
     node = np.frombuffer(b"".join(join("nodes")), "<i8")
@@ -224,16 +224,21 @@ def _fragment(key, blobs: pd.DataFrame) -> pd.DataFrame:
         h, node, q, of = h[of > 1], node[of > 1], q[of > 1], of[of > 1]
     if not len(h):
         return pd.DataFrame({"kind": pd.Series(dtype="int32"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "c": pd.Series(dtype="int32")})
-    for d in range(1, SMALL):
+    pairs = []
+    for d in range(1, small):
         if d >= len(h):
             break
-        both = (h[d:] == h[:-d]) & ((of[d:] <= SMALL) | (d == 1)) & (np.abs(q[d:] - q[:-d]) <= 6)
-        a, b = node[:-d][both], node[d:][both]
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        add(0 if d == 1 else 1, pair[:, 0], pair[:, 1])
-    who, times = np.unique(node, return_counts=True)
-    add(2, who, times)
-    large = of > SMALL
+        both = (h[d:] == h[:-d]) & ((of[d:] <= small) | (d == 1)) & (np.abs(q[d:] - q[:-d]) <= 6)
+        x, y = node[:-d][both], node[d:][both]
+        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.full(len(x), d == 1)], axis=1))
+    if pairs:
+        p = np.concatenate(pairs)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        first = np.flatnonzero(np.append(True, (p[1:, 0] != p[:-1, 0]) | (p[1:, 1] != p[:-1, 1]))) if len(p) else np.empty(0, np.int64)
+        times = np.diff(np.append(first, len(p)))
+        beside = np.maximum.reduceat(p[:, 2], first) if len(p) else np.empty(0, np.int64)
+        add(0, p[first, 0], p[first, 1], 2 * times + beside)
+    large = of > small
     # A large group's name must not equal a frequent shingle's: the fragment and 48 bits stand in the lower 56.
     add(3, h[large].view(np.int64), node[large], np.full(large.sum(), -1))
     return pd.concat(out, ignore_index=True)
@@ -295,7 +300,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(found.join(nodes, "node", "left_semi").dropDuplicates(["node", "cut"]))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidate pairs ``a, b, na, nb`` that link, by summed partial overlaps."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     degree = stored(ends.groupBy("node").agg(F.count("*").alias("k")))
@@ -322,7 +327,7 @@ def _room(n: str, most: str):
     return F.floor(F.col(most) * (NUM + DEN) / NUM - F.col(n))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, seen: int = SEEN) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``df``.
 
     ``component_id`` is the smallest id that links reach from the document, itself included. Texts without words, and null
@@ -332,7 +337,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    survey = stored(docs.mapInArrow(_survey, DOCS))
+    survey = stored(docs.mapInArrow(lambda batches: _survey(batches, seen), DOCS))
     known = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"))
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(FREQUENT).toPandas()
     by_count = often.sort_values(["c", "a"])["a"].to_numpy(np.int64).view(np.uint64)
@@ -346,21 +351,29 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         yield from _entries(frequent.value, fragments)(batches)
 
     blobs = docs.select("_text").mapInArrow(entries, "fragment int, hashes binary, nodes binary, more binary")
-    found = stored(blobs.groupBy("fragment").applyInPandas(_fragment, FOUND))
-    pairs = stored(_sized(found.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind")), sizes))
-
-    # Large groups: how many shingles of a node can be shared at most, and one hub for each group.
-    shared = found.where("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("shared"))
+    found = stored(blobs.groupBy("fragment").applyInPandas(lambda key, x: _fragment(key, x, small), FOUND))
+    # Both prefixes of a linked pair hold the first shingles that the two share, and these are many.
+    counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum(F.floor(F.col("c") / 2)).alias("met"), F.max(F.col("c") % 2).alias("beside"))
+    in_groups = stored(found.where("kind = 3").groupBy(F.col("b").alias("node")).agg(F.countDistinct("a").alias("k")))
+    ga, gb = in_groups.select(F.col("node").alias("a"), F.col("k").alias("ka")), in_groups.select(F.col("node").alias("b"), F.col("k").alias("kb"))
+    need = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))
+    sure = lambda n: need - F.ceil(F.col(n) * NUM / DEN) + 1
+    unseen = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    pairs = _sized(counted, sizes).join(ga, "a", "left").join(gb, "b", "left").where(F.col("met") + unseen >= F.least(sure("na"), sure("nb")))
+    pairs = stored(pairs.select("a", "b", "na", "nb", (F.col("beside") == 1).alias("beside")))
+
+    # Large groups. Pairs that share an entry of a small group are among those above. Any other pair shares none of the
+    # rare entries that a node has outside of large groups, which bounds what it can have in common.
     large = found.where("kind = 3").select(F.col("a").alias("group"), F.col("b").alias("node"), "c")
-    in_large = large.groupBy("node").agg(F.max("c").alias("c")).join(sizes.select("node", "n"), "node").join(shared, "node", "left")
-    first = F.col("n") - F.floor((F.col("n") * NUM + DEN - 1) / DEN) + 1
-    alone = F.when(F.col("c") < 0, first).otherwise(F.col("c")) - F.coalesce("shared", F.lit(0))
+    in_large = large.groupBy("node").agg(F.max("c").alias("c"), F.countDistinct(F.when(F.col("c") < 0, F.col("group"))).alias("rare")).join(sizes.select("node", "n"), "node")
+    first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    alone = F.when(F.col("c") < 0, first).otherwise(F.col("c")) - F.col("rare")
     bound = stored(in_large.select("node", "n", (F.col("n") - F.greatest(alone, F.lit(0))).alias("most")).withColumn("room", _room("n", "most")))
     members = stored(large.select("group", "node").distinct().join(bound, "node"))
     hubs = members.groupBy("group").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("s"), "n", "node")).alias("h")).select("group", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
     stars = members.join(hubs, "group").where((F.col("node") != F.col("hub")) & (F.col("room") >= F.col("nh")))
     stars = _sized(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sizes)
-    near = _linked(docs, stored(pairs.where("kind = 0").drop("kind").unionByName(stars).distinct()), sizes)
+    near = _linked(docs, stored(pairs.where("beside").drop("beside").unionByName(stars).distinct()))
     comp = components(near)
 
     # Whatever could still join two components.
@@ -368,7 +381,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         r = comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         return p.join(r, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
 
-    rest = rooted(rooted(pairs.where("kind = 1").drop("kind"), "a"), "b").where("ra <> rb").select("a", "b", "na", "nb")
+    rest = rooted(rooted(pairs.where("NOT beside").drop("beside"), "a"), "b").where("ra <> rb").select("a", "b", "na", "nb")
     placed = stored(rooted(members.withColumnRenamed("node", "a"), "a").select("group", F.col("a").alias("node"), "n", "room", F.col("ra").alias("root")))
     by_root = placed.groupBy("group", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("group").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("group", F.col("m.root").alias("main"))
@@ -382,7 +395,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(rest.unionByName(_sized(cross, sizes)).distinct())
     if not rest.isEmpty():
-        more = _linked(docs, rest, sizes)
+        more = _linked(docs, rest)
         comp = components(near.unionByName(more))
     grouped = sizes.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
