@@ -383,15 +383,21 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: i
 
     rest = rooted(rooted(pairs.where("NOT beside").drop("beside"), "a"), "b").where("ra <> rb").select("a", "b", "na", "nb")
     placed = stored(rooted(members.withColumnRenamed("node", "a"), "a").select("group", F.col("a").alias("node"), "n", "room", F.col("ra").alias("root")))
-    by_root = placed.groupBy("group", "root").agg(F.count("*").alias("k"))
-    main = by_root.groupBy("group").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("group", F.col("m.root").alias("main"))
-    split = placed.join(main, "group")
-    outside = split.where("root <> main").select("group", F.col("node").alias("a"), F.col("n").alias("na"), F.col("room").alias("room_a"), F.col("root").alias("ra"))
+    # The node of the smaller component asks. A linked pair shares at least ``fewest`` groups, so that many of the groups
+    # of a node, less one, need not be asked: the largest ones.
+    weight = placed.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("w"))
+    weighed = placed.join(weight, "root").withColumn("order", F.struct("w", "root"))
+    top = weighed.groupBy("group").agg(F.max("order").alias("top"), F.min("order").alias("low"), F.count("*").alias("members")).where("top <> low")
+    split = stored(weighed.join(top, "group"))
+    each = Window.partitionBy("node")
+    asking = split.where("order < top").withColumns({"k": F.count("*").over(each), "turn": F.row_number().over(each.orderBy("members", "group"))})
     lengths = split.select("group", F.col("n").alias("nb")).distinct()
-    fits = (F.col("nb") <= F.col("room_a")) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
-    asked = outside.join(lengths, "group").where(fits)
-    partners = split.select("group", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("room").alias("room_b"), F.col("root").alias("rb"))
-    cross = asked.join(partners, ["group", "nb"]).where("ra <> rb AND na <= room_b")
+    outside = asking.select("group", F.col("node").alias("a"), F.col("n").alias("na"), F.col("room").alias("room_a"), F.col("order").alias("order_a"), "k", "turn")
+    fewest = F.greatest(F.least(sure("na"), sure("nb")), F.lit(1))
+    sizes_fit = (F.col("nb") <= F.col("room_a")) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
+    asked = outside.join(lengths, "group").where(sizes_fit & (F.col("turn") <= F.col("k") - fewest + 1))
+    partners = split.select("group", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("room").alias("room_b"), F.col("order").alias("order_b"))
+    cross = asked.join(partners, ["group", "nb"]).where("order_b > order_a AND na <= room_b")
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(rest.unionByName(_sized(cross, sizes)).distinct())
     if not rest.isEmpty():
