@@ -34,9 +34,9 @@ class Sizes:
     """What is held at once; results don't depend on it."""
 
     segment: int = 1 << 22  # bytes of a text that are looked at together; under 2 ** 24
-    blob: int = 500_000  # stretches that a task hands on together
+    blob: int = 100_000  # stretches that a task hands on together
     fragment: int = 1_000_000  # stretches that meet in a task
-    run: int = 32_000_000  # bytes of context in a sorted run
+    run: int = 8_000_000  # bytes of context in a sorted run
     bits: int = 1 << 24  # of the filters for texts; whatever passes them wrongly is dropped by a join
 
 
@@ -287,9 +287,9 @@ def _runs(fragments: int, sizes: Sizes):
     def run(batches):
         items, size = [], 0
         for b in batches:
-            for t1, t2, data, marks in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("data"), b.column("marks").to_pylist()):
+            for t1, t2, data, marks in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("data"), b.column("marks")):
                 data = data.as_py()
-                for m in marks:
+                for m in marks.as_py():
                     s, e, p = m["a"], m["b"], m["p"]
                     f = ((m["g"] & 0xFFFFFFFFFFFFFFFF) >> 32) * fragments >> 32
                     items.append((f, data[p : e + LENGTH], data[s:p][::-1], (t1, t2, s, e - s, p - s, m["whole"])))
@@ -372,18 +372,25 @@ def _texts_of(docs: DataFrame, names: DataFrame, sizes: Sizes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_bits(names, sizes.bits))
 
     def run(batches):
-        words, done = shared.value, set()
+        words, done, out, size = shared.value, set(), [], 0
+
+        def batch():
+            cols = list(zip(*out)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["t1", "t2", "data"])
+
         for b in batches:
-            out = []
             for text in b.column("_text"):
                 data = text.as_py().encode()
                 name = _name(data)
                 if _has(words, name[0]) and name not in done:
-                    if len(done) < 1_000_000:
+                    if len(done) < 200_000:
                         done.add(name)
                     out.append((*name, data))
-            cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["t1", "t2", "data"])
+                    size += len(data)
+                    if size >= 4_000_000:
+                        yield batch()
+                        out, size = [], 0
+        yield batch()
 
     return docs.select("_text").mapInArrow(run, "t1 long, t2 long, data binary").dropDuplicates(["t1", "t2"])
 
@@ -460,8 +467,8 @@ def _cuts(docs: DataFrame, ranges: DataFrame, as_text: bool, sizes: Sizes) -> Da
     def run(batches):
         for b in batches:
             out = []
-            for t1, t2, data, rs in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("data"), b.column("spans").to_pylist()):
-                data = data.as_py()
+            for t1, t2, data, rs in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("data"), b.column("spans")):
+                data, rs = data.as_py(), rs.as_py()
                 rest = cut(data, rs)
                 out.append((t1, t2, len(data) - len(rest), len(rs), hashlib.sha256(rest).hexdigest(), cut_text(data, rs) if as_text else None))
             cols = list(zip(*out)) or [[]] * 6
