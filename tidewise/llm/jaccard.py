@@ -26,7 +26,7 @@ NUM, DEN = 3, 4
 #: The list of frequent shingles, whose order is by count: so many at most. It only fixes the order of shingles.
 FREQUENT = 50_000
 #: A task reports shingles that it saw in so many documents among this number of shingles.
-SEEN, REPORT = 8, 4_000_000
+SEEN, REPORT = 8, 1_000_000
 #: Entries of a fragment, groups whose pairs are all candidates, and cuts of a set when pairs are counted.
 FRAGMENT, SMALL, CUTS = 1_000_000, 16, 4
 #: Bits of the filter for documents whose sets are needed. Whatever passes it wrongly is dropped by a join.
