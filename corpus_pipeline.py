@@ -28,7 +28,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     net = langid.fit(docs.where(F.col("lang").isNotNull() & ~langid.held_out()))
     if not net.labels:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    told = langid.identify(_packed(docs, "text"), net, keep=("row",))
+    told = langid.identify(_packed(docs), net, keep=("row",), inside="row")
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

@@ -148,8 +148,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return net
 
 
-def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, ``lang_pred`` and ``score``, one row per row; only the whole text decides."""
+def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
+    """Columns ``keep``, ``lang_pred`` and ``score``, one row per row; only the whole text decides. With ``inside`` the text
+    is a field of that kept column, and travels once."""
     fields = [df.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
     shared = df.sparkSession.sparkContext.broadcast(net)  # the size of the network doesn't depend on the data
@@ -157,12 +158,13 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[st
     def run(batches):
         model = shared.value
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = (b.column(inside).field(text_col) if inside else b.column("_text")).to_pylist()
             for lo, hi in _slices(texts):
                 labels, scores = model.predict(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in keep], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    text = [] if inside else [F.col(text_col).cast("string").alias("_text")]
+    return df.select(*keep, *text).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
