@@ -84,6 +84,14 @@ def test_odd_rows(spark):
     assert got(J.join(df.where("doc_id < 4"))) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+def test_very_long_texts(spark):
+    """Sizes on both sides of 1.05 ** 256, beyond which size classes are not told apart."""
+    word = [str(i) for i in range(266_004)]
+    rows = [(1, " ".join(word[:265_004])), (2, " ".join(word)), (3, " ".join(word[:190_004]))]
+    out = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got(out) == [(1, 265_000, 1), (2, 266_000, 1), (3, 190_000, 3)]
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(4000, 4100)]

@@ -116,7 +116,7 @@ def _survey(batches, seen: int):
 
 
 def _entries(frequent, fragments: int):
-    """Blobs of prefix entries per fragment: (48 bits of) shingle, node, size class. Fragments below 0 hold the entries of
+    """Blobs of prefix entries per fragment: (48 bits of) shingle, node, size class (255: or larger). Fragments below 0 hold the entries of
     frequent shingles, dealt by node: shingle, node, number of rare entries of that node."""
     names = ["fragment", "hashes", "nodes", "more"]
     by_hash, rank = frequent
@@ -161,7 +161,7 @@ def _entries(frequent, fragments: int):
                     rare = s[~common][:p]
                     rows[0].append(rare)
                     rows[1].append(np.full(len(rare), node, np.int64))
-                    rows[2].append(np.full(len(rare), int(np.log(n) / np.log(1.05)), np.int64))
+                    rows[2].append(np.full(len(rare), min(int(np.log(n) / np.log(1.05)), 255), np.int64))
                     if len(rare) < p:
                         often = s[common][np.argsort(rank[at[common]])][: p - len(rare)]
                         rows[3].append(often)
