@@ -84,6 +84,19 @@ def test_odd_rows(spark):
     assert got(J.join(df.where("doc_id < 4"))) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+@pytest.mark.parametrize("small", [2, 4])
+def test_texts_inside_longer_ones(spark, small):
+    """Families of parts of one text, all shingles equally rare: a prefix may end before shingles that its partner has."""
+    r, rows = random.Random(small), []
+    for _ in range(60):
+        base = ["%06x" % r.randrange(1 << 24) for _ in range(104)]
+        for n in [79, 79, 104, *[r.randint(79, 104) for _ in range(small)]]:  # 75 to 100 shingles
+            at = r.randint(0, 104 - n)
+            rows.append((len(rows), " ".join(base[at : at + n])))
+    out = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small=small, seen=10**9)
+    assert got(out) == brute(rows)
+
+
 def test_very_long_texts(spark):
     """Sizes on both sides of 1.05 ** 256, beyond which size classes are not told apart."""
     word = [str(i) for i in range(266_004)]

@@ -116,24 +116,25 @@ def _survey(batches, seen: int):
 
 
 def _entries(frequent, fragments: int):
-    """Blobs of prefix entries per fragment: (48 bits of) shingle, node, size class (255: or larger). Fragments below 0 hold the entries of
+    """Blobs of prefix entries per fragment: (48 bits of) shingle, node, size class (255: or larger), place in the
+    prefix (in 256ths, rounded down). Fragments below 0 hold the entries of
     frequent shingles, dealt by node: shingle, node, number of rare entries of that node."""
     names = ["fragment", "hashes", "nodes", "more"]
     by_hash, rank = frequent
 
     def flush(rows):
-        rare_h, rare_n, rare_q, freq_h, freq_n, freq_m = (np.concatenate(x) if x else np.empty(0, np.int64) for x in rows)
+        rare_h, rare_n, rare_q, rare_p, freq_h, freq_n, freq_m = (np.concatenate(x) if x else np.empty(0, np.int64) for x in rows)
         out = []
         order = np.lexsort((rare_n, rare_h))
-        h, n, q = rare_h[order].astype(np.uint64), rare_n[order], rare_q[order]
+        h, n, q, at = rare_h[order].astype(np.uint64), rare_n[order], rare_q[order], rare_p[order]
         if len(h):
             new = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]))
-            h, n, q = h[new], n[new], q[new]
+            h, n, q, at = h[new], n[new], q[new], at[new]
             f = (h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
             for k, (i, j) in zip(*_runs(f)):
                 part = h[i:j] >> np.uint64(16)
                 packed = part.astype("<u4").tobytes() + (part >> np.uint64(32)).astype("<u2").tobytes()
-                out.append((int(k), packed, n[i:j].astype("<i8").tobytes(), q[i:j].astype(np.uint8).tobytes()))
+                out.append((int(k), packed, n[i:j].astype("<i8").tobytes(), q[i:j].astype(np.uint8).tobytes() + at[i:j].astype(np.uint8).tobytes()))
         if len(freq_h):
             spread = -1 - (freq_n.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
             order = np.lexsort((freq_h, freq_n, spread))
@@ -146,7 +147,7 @@ def _entries(frequent, fragments: int):
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=names)
 
     def run(batches):
-        rows, size = ([], [], [], [], [], []), 0
+        rows, size = ([], [], [], [], [], [], []), 0
         for b in batches:
             texts = b.column("_text").to_pylist()
             for lo, hi in _slices(texts):
@@ -162,15 +163,16 @@ def _entries(frequent, fragments: int):
                     rows[0].append(rare)
                     rows[1].append(np.full(len(rare), node, np.int64))
                     rows[2].append(np.full(len(rare), min(int(np.log(n) / np.log(1.05)), 255), np.int64))
+                    rows[3].append(np.arange(len(rare)) * 256 // p)
                     if len(rare) < p:
                         often = s[common][np.argsort(rank[at[common]])][: p - len(rare)]
-                        rows[3].append(often)
-                        rows[4].append(np.full(len(often), node, np.int64))
-                        rows[5].append(np.full(len(often), len(rare), np.int64))
+                        rows[4].append(often)
+                        rows[5].append(np.full(len(often), node, np.int64))
+                        rows[6].append(np.full(len(often), len(rare), np.int64))
                     size += p
                 if size >= REPORT:
                     yield flush(rows)
-                    rows, size = ([], [], [], [], [], []), 0
+                    rows, size = ([], [], [], [], [], [], []), 0
         yield flush(rows)
 
     return run
@@ -186,7 +188,7 @@ FOUND = "kind int, a long, b long, c int"
 
 def _fragment(key, blobs: pd.DataFrame, small: int) -> pd.DataFrame:
     """Kind 0: pair of nodes, twice the number of shared entries in small groups, plus 1 if they are neighbours in one; 3: shingle
-    (or part of it), node and number of rare entries (-1: all) of large groups and frequent shingles."""
+    (or part of it), node and, of frequent shingles, number of rare entries, of large groups, -1 less the place of the entry."""
     join = lambda c: [bytes(x) for x in blobs[c]]
     node = np.frombuffer(b"".join(join("nodes")), "<i8")
     out = []
@@ -207,21 +209,22 @@ def _fragment(key, blobs: pd.DataFrame, small: int) -> pd.DataFrame:
         low.append(np.frombuffer(x, "<u4", k))
         high.append(np.frombuffer(x, "<u2", k, 4 * k))
     h = np.concatenate(low).astype(np.uint64) | np.concatenate(high).astype(np.uint64) << np.uint64(32)
-    q = np.frombuffer(b"".join(join("more")), np.uint8).astype(np.int16)
+    more = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in join("more")]
+    q, at = np.concatenate(more, axis=1).astype(np.int16)
     order = np.argsort(h, kind="stable")
     h = h[order]
     twin = np.append(h[1:] == h[:-1], False)
     shared = twin | np.append(False, twin[:-1])
     h, order = h[shared], order[shared]
     inner = np.lexsort((node[order], q[order], h))  # in a group by size, so that neighbours are alike
-    h, node, q = h[inner], node[order][inner], q[order][inner]
+    h, node, q, at = h[inner], node[order][inner], q[order][inner], at[order][inner]
     if len(h):
         new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
-        h, node, q = h[new], node[new], q[new]
+        h, node, q, at = h[new], node[new], q[new], at[new]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(first, len(h)))
         of = np.repeat(size, size)
-        h, node, q, of = h[of > 1], node[of > 1], q[of > 1], of[of > 1]
+        h, node, q, at, of = h[of > 1], node[of > 1], q[of > 1], at[of > 1], of[of > 1]
     if not len(h):
         return pd.DataFrame({"kind": pd.Series(dtype="int32"), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "c": pd.Series(dtype="int32")})
     pairs = []
@@ -240,7 +243,7 @@ def _fragment(key, blobs: pd.DataFrame, small: int) -> pd.DataFrame:
         add(0, p[first, 0], p[first, 1], 2 * times + beside)
     large = of > small
     # A large group's name must not equal a frequent shingle's: the fragment and 48 bits stand in the lower 56.
-    add(3, h[large].view(np.int64), node[large], np.full(large.sum(), -1))
+    add(3, h[large].view(np.int64), node[large], -1 - at[large])
     return pd.concat(out, ignore_index=True)
 
 
@@ -362,16 +365,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: i
     pairs = _sized(counted, sizes).join(ga, "a", "left").join(gb, "b", "left").where(F.col("met") + unseen >= F.least(sure("na"), sure("nb")))
     pairs = stored(pairs.select("a", "b", "na", "nb", (F.col("beside") == 1).alias("beside")))
 
-    # Large groups. Pairs that share an entry of a small group are among those above. Any other pair shares none of the
-    # rare entries that a node has outside of large groups, which bounds what it can have in common.
-    large = found.where("kind = 3").select(F.col("a").alias("group"), F.col("b").alias("node"), "c")
-    in_large = large.groupBy("node").agg(F.max("c").alias("c"), F.countDistinct(F.when(F.col("c") < 0, F.col("group"))).alias("rare")).join(sizes.select("node", "n"), "node")
+    # Large groups. Pairs that share an entry of a small group are among those above. Any other pair of a large group
+    # shares none of the entries that a node has before this group's shingle and outside of large groups: they would stand
+    # in both prefixes. That bounds what it can have in common. Entries behind the shingle may be shared behind a prefix.
+    large = found.where("kind = 3").select(F.col("a").alias("group"), F.col("b").alias("node"), "c").dropDuplicates(["group", "node"]).join(sizes.select("node", "n"), "node")
     first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
-    alone = F.when(F.col("c") < 0, first).otherwise(F.col("c")) - F.col("rare")
-    bound = stored(in_large.select("node", "n", (F.col("n") - F.greatest(alone, F.lit(0))).alias("most")).withColumn("room", _room("n", "most")))
-    members = stored(large.select("group", "node").distinct().join(bound, "node"))
-    hubs = members.groupBy("group").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("s"), "n", "node")).alias("h")).select("group", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
-    stars = members.join(hubs, "group").where((F.col("node") != F.col("hub")) & (F.col("room") >= F.col("nh")))
+    ahead = Window.partitionBy("node").orderBy(F.col("c") >= 0, "group").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("c") < 0, F.ceil((-1 - F.col("c")) * first / 256)).otherwise(F.col("c"))
+    alone = F.greatest(place - F.count(F.when(F.col("c") < 0, 1)).over(ahead), F.lit(0))
+    members = stored(large.select("group", "node", "n", (F.col("n") - alone).alias("most")).withColumn("room", _room("n", "most")))
+    hubs = members.groupBy("group").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("s"), "n", "node", "room")).alias("h")).select("group", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"), F.col("h.room").alias("room_h"))
+    stars = members.join(hubs, "group").where((F.col("node") != F.col("hub")) & (F.col("room") >= F.col("nh")) & (F.col("room_h") >= F.col("n")))
     stars = _sized(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sizes)
     near = _linked(docs, stored(pairs.where("beside").drop("beside").unionByName(stars).distinct()))
     comp = components(near)
