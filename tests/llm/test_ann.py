@@ -70,3 +70,16 @@ def test_odd_rows(spark, monkeypatch):
     assert ann.search(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
     few = [(50, [1.0, 0.0]), (51, [1.0, 1.0]), (52, [1.0, 2.0, 3.0])]
     assert len(ann.search(spark.createDataFrame(few, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()) == 1
+
+
+def test_repeated_rows_in_one_block(spark):
+    """Copies of rows take no places of other ids; an id with two vectors is one neighbour."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=3).astype(np.float32).tolist()) for i in range(1, 120)]
+    rows += [(200 + i, [1.0, 2.0, 2.0]) for i in range(8)]
+    df = spark.createDataFrame(rows + rows + 6 * [(200, [1.0, 2.0, 2.0])], "vec_id long, embedding array<float>")
+    recall, got, want = compared(rows, df)
+    assert recall == 1 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    two = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [1.0, 0.3]), (3, [0.4, 1.0]), (4, [1.0, 0.5]), (5, [-1.0, 0.1]), (6, [0.9, 1.0])]
+    out = ann.search(spark.createDataFrame(two, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    assert [(x["rank"], x.vec_id) for x in out.orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 6)]

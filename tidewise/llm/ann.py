@@ -203,14 +203,15 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of
     another length than the one that most rows have. Rows with a query's id are not its neighbours. Ties go to smaller
-    ids. Of equal vectors only the k + 1 smallest ids can ever be among the nearest, so only these are kept.
+    ids. Of equal vectors only the k + 1 smallest ids can ever be among the nearest, so only these are kept. Repeated rows
+    count once; an id with several vectors is one neighbour, by its best score, and one query with all of them.
     """
     clean = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<float>").alias("_v"), queries.alias("_q")).where(F.col("_id").isNotNull() & usable(F.col(vector_col)) & usable(F.col("_v")))
     lengths = clean.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = lengths["d"] if lengths else 0
     clean = clean.where(F.size("_v") == d)
     same = Window.partitionBy("_v").orderBy("_id")
-    kept = stored(clean.select("_id", "_v").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).select("_id", "_v"))
+    kept = stored(clean.select("_id", "_v").distinct().withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).select("_id", "_v"))
     asked = stored(clean.where("_q").select("_id", "_v").distinct())
     router = fit(kept, kept.count(), part_rows)
     index = stored(_routed(kept, router, 1))
@@ -225,24 +226,31 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     def compare(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asks):
+            rows = rows.sort_values("_id", kind="stable")
             ids, c = rows["_id"].to_numpy(), _matrix(rows["_v"])
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            most = min(k, len(first))
             unit, norm = _unit(c), np.sqrt((c * c).sum(axis=1))
             q_ids, q = asks["_id"].to_numpy(), _matrix(asks["_v"])
             q_unit, q_norm = _unit(q), np.sqrt((q * q).sum(axis=1))
             for lo in range(0, len(q), 256):
                 s = q_unit[lo : lo + 256] @ unit.T
                 s[q_ids[lo : lo + 256, None] == ids[None, :]] = -np.inf
-                least = np.partition(s, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 1e-9
+                best = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)  # of each id
+                least = np.partition(best, -most, axis=1)[:, -most] - 1e-9
                 for i in range(len(s)):
                     near = np.flatnonzero((s[i] >= least[i]) & np.isfinite(s[i]))
                     # Once more, row by row, so that equal vectors have equal scores wherever they are compared.
                     score = (c[near] * q[lo + i]).sum(axis=1) / (norm[near] * q_norm[lo + i])
-                    for j in np.lexsort((ids[near], -score))[:k]:
+                    order = np.lexsort((ids[near], -score))
+                    if len(first) < len(ids):
+                        order = order[np.sort(np.unique(ids[near[order]], return_index=True)[1])]
+                    for j in order[:k]:
                         out.append((int(q_ids[lo + i]), int(ids[near[j]]), float(score[j])))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["_part", "_block", "_group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    unique = found.distinct()  # rows may repeat an id
+    unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids may have several vectors
     return unique.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
