@@ -114,6 +114,27 @@ def op7_token_files(spark, sf_dir):
     return tokenfile.read(spark, path)
 
 
+def op11_quality(spark, sf_dir):
+    from tidewise.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    done = quality.score(docs, quality.fit(docs, labels))
+    return done.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.PREDICT_FROM).cast("int").alias("predicted"))
+
+
+def op12_manifest(spark, sf_dir):
+    from tidewise.llm import manifest
+
+    return manifest.documents(spark, sf_dir)
+
+
+def op13_spelling(spark, sf_dir):
+    from tidewise.llm import spelling
+
+    return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
@@ -125,5 +146,8 @@ QUERIES = {
     "op8_repeated_strings": op8_repeated_strings,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_quality": op11_quality,
+    "op12_manifest": op12_manifest,
+    "op13_spelling": op13_spelling,
 }
 SQL = {"op4_url_filters": OP4_SQL}
