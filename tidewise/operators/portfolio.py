@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewise import constants as K
 from tidewise.functions import scalar as C
+from tidewise.operators import optimise as O
 from tidewise.operators import series as W
 
 BY_PORTFOLIO = W.Layout(("portfolio",), ("ts",))
@@ -98,7 +99,9 @@ def moments(returns: DataFrame, group: Column, symbols: list[str]) -> DataFrame:
 
 
 def optimise(mom: DataFrame, assets: int, steps: int = 10) -> DataFrame:
-    """Long-only weights on a lattice (multiples of 1/steps) that are best for each objective.
+    """Long-only weights on a lattice (multiples of 1/steps) that are best for each objective, for a handful of assets.
+
+    For portfolios that may only hold such shares, and as a check of ``optimise.optimal``, which takes any number of assets.
 
     Each group's candidates are generated and scored by its own row; only the best survive the partial
     aggregation. Objectives: max_sharpe, min_volatility, max_returns. Ties go to the lower candidate number.
@@ -155,16 +158,19 @@ def causal_adjustments(sens: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def compare_causal(mom: DataFrame, adjustments: DataFrame, symbols: list[str]) -> DataFrame:
-    """Best Sharpe weights on plain against adjusted means; both are judged by the plain means."""
-    adj = adjustments.agg(*[F.coalesce(F.max(F.when(F.col("symbol") == s, F.col("adjustment"))), F.lit(0.0)).alias(s) for s in symbols])
-    row = adj.select(F.array(*symbols).alias("adj"))
-    shifted = mom.withColumn("_adj", row.scalar())
-    k = len(symbols)
-    shifted = shifted.withColumn("mu", F.array(*[F.col("mu")[i] + F.col("_adj")[i] for i in range(k)])).drop("_adj")
-    plain = optimise(mom, len(symbols)).filter("objective = 'max_sharpe'")
-    causal = optimise(shifted, len(symbols)).filter("objective = 'max_sharpe'").select("grp", F.col("w").alias("cw"), F.col("vol").alias("cvol"))
+    """Best Sharpe weights on plain against adjusted means; both are judged by the plain means.
+
+    Groups without enough dates have no row. Any number of symbols; those without an adjustment keep their mean.
+    """
+    adj = adjustments.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("symbol", "adjustment"))).alias("m"))  # a row per symbol
+    names = F.array(*[F.lit(s) for s in symbols])
+    shift = F.transform(names, lambda s: F.coalesce(F.element_at(F.col("_m"), s), F.lit(0.0)))
+    shifted = mom.withColumn("_m", adj.scalar()).withColumn("mu", F.zip_with("mu", shift, lambda a, b: a + b))
+    best = lambda m: O.optimal(m, ("max_sharpe",)).filter("status = 'ok'")
+    plain = best(mom).select("grp", "ret", "vol", "sharpe")
+    causal = best(shifted).select("grp", F.col("w").alias("cw"), F.col("vol").alias("cvol"))
     j = plain.join(causal, "grp").join(mom.select("grp", "mu"), "grp")
-    cret = sum(F.col("cw")[i] * F.col("mu")[i] for i in range(len(symbols)))
+    cret = F.aggregate(F.zip_with("cw", "mu", lambda w, m: w * m), F.lit(0.0), lambda s, x: s + x)
     return j.select(
         F.col("ret").alias("traditional_return"),
         cret.alias("causal_return"),

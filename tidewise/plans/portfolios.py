@@ -11,6 +11,7 @@ from tidewise.functions import scalar as C
 from tidewise.operators import features as X
 from tidewise.operators import ledger as L
 from tidewise.operators import market as Q
+from tidewise.operators import optimise as O
 from tidewise.operators import portfolio as P
 from tidewise.operators import series as W
 from tidewise.operators import stats as M
@@ -120,44 +121,84 @@ def parametric_metrics(spark, d):
     return P.parametric(S.nation_weights(spark, d), M.mean_annual(wide, SYMBOLS), M.covariance_annual(wide, SYMBOLS))
 
 
-def _lattice(grp: str) -> str:
-    n = 5
-    dig = ", ".join(f"CAST(floor(id / {11**k}) % 11 AS INTEGER) AS d{k}" for k in range(n - 1))
-    ws = ", ".join(f"d{k} / 10 AS w{k}" for k in range(n - 1)) + ", (10 - d0 - d1 - d2 - d3) / 10 AS w4"
-    mu = ", ".join(f"avg({s}) * 252 AS m{i}" for i, s in enumerate(SYMBOLS))
-    sg = ", ".join(
-        f"covar_samp({a}, {b}) * 252 AS s{i}{j}" for i, a in enumerate(SYMBOLS) for j, b in enumerate(SYMBOLS)
-    )
-    ret = " + ".join(f"w{i} * m{i}" for i in range(n))
-    var = " + ".join(f"w{i} * w{j} * s{i}{j}" for i in range(n) for j in range(n))
-    wide = ", ".join(f"max(r) FILTER (symbol = '{s}') AS {s}" for s in SYMBOLS)
-    pick = lambda o, s: f"SELECT grp, '{o}' AS objective, arg_max((w0, w1, w2, w3, w4, ret, vol, sharpe), (round({s}, 9), -id)) AS z FROM sc GROUP BY grp"
-    return f"""wd AS (SELECT ts, {wide} FROM aligned GROUP BY ts), mo AS (SELECT {grp} AS grp, {mu}, {sg}, count(*) AS n FROM wd GROUP BY 1),
-      ca AS (SELECT id, {ws} FROM (SELECT id, {dig} FROM range({11**4}) t(id)) WHERE d0 + d1 + d2 + d3 <= 10),
-      rv AS (SELECT *, {ret} AS ret, sqrt({var}) AS vol FROM mo CROSS JOIN ca WHERE n > 30),
-      sc AS (SELECT *, (ret - 0.04) / vol AS sharpe FROM rv),
-      bs AS ({pick('max_sharpe', 'sharpe')} UNION ALL {pick('min_volatility', '-vol')} UNION ALL {pick('max_returns', 'ret')}),
-      op AS (SELECT grp, objective, z[1] AS w0, z[2] AS w1, z[3] AS w2, z[4] AS w3, z[5] AS w4, z[6] AS ret, z[7] AS vol, z[8] AS sharpe FROM bs)"""
+BRANDS = [f"Brand{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+def _solver(means: str, shift: str = "0.0", rounds: int = 4000) -> str:
+    """SQL of the optimum, by another method than the library's: projected gradient steps on the scaled problem.
+
+    ``means``: CTEs that end in ``mo(grp, a, m, n)`` and ``co(grp, a, b, c)``. Gives ``op(grp, objective, w, ret, vol, sharpe)``.
+    """
+    return f"""{means},
+      sd AS (SELECT mo.grp, mo.a, m, m + {shift} AS ms, n, sqrt(c) AS d FROM mo JOIN co ON co.grp = mo.grp AND co.a = mo.a AND co.b = mo.a WHERE n > 30),
+      rr AS (SELECT x.grp, x.a, list(c / (x.d * y.d) ORDER BY y.a) AS r, sum(abs(c / (x.d * y.d))) AS bound FROM sd x JOIN co ON co.grp = x.grp AND co.a = x.a
+             JOIN sd y ON y.grp = x.grp AND y.a = co.b GROUP BY x.grp, x.a),
+      gg AS (SELECT sd.grp, list(d ORDER BY sd.a) AS d, list(m ORDER BY sd.a) AS m, list(ms ORDER BY sd.a) AS ms, list(r ORDER BY sd.a) AS r, max(bound) AS l, count(*) AS k
+             FROM sd JOIN rr ON rr.grp = sd.grp AND rr.a = sd.a GROUP BY sd.grp),
+      st AS (SELECT grp, o AS objective, r, l, k, CASE o WHEN 'min_volatility' THEN list_transform(d, lambda x: 1 / x)
+             ELSE list_transform(range(1, k + 1), lambda i: (ms[i] - 0.04) / d[i]) END AS c FROM gg CROSS JOIN (VALUES ('max_sharpe'), ('min_volatility')) v(o)),
+      it(grp, objective, r, l, k, c, z, t) AS (SELECT grp, objective, r, l, k, c, list_transform(c, lambda x: greatest(x, 0) / l), 0 FROM st
+        UNION ALL SELECT grp, objective, r, l, k, c, list_transform(range(1, k + 1), lambda i: greatest(0, z[i] + (c[i] - list_dot_product(r[i], z)) / l)), t + 1 FROM it WHERE t < {rounds}),
+      zz AS (SELECT it.grp, objective, list_transform(range(1, it.k + 1), lambda i: z[i] / d[i]) AS v FROM it JOIN gg ON gg.grp = it.grp WHERE t = {rounds}),
+      ww AS (SELECT zz.grp, objective, CASE WHEN list_sum(v) > 0 THEN list_transform(v, lambda x: x / list_sum(v))
+             ELSE list_transform(range(1, k + 1), lambda i: CASE WHEN i = list_position(list_transform(range(1, k + 1), lambda j: (ms[j] - 0.04) / d[j]),
+               list_max(list_transform(range(1, k + 1), lambda j: (ms[j] - 0.04) / d[j]))) THEN 1.0 ELSE 0.0 END) END AS w FROM zz JOIN gg ON gg.grp = zz.grp
+             UNION ALL SELECT grp, 'max_returns', list_transform(range(1, k + 1), lambda i: CASE WHEN i = list_position(ms, list_max(ms)) THEN 1.0 ELSE 0.0 END) FROM gg),
+      rv AS (SELECT ww.grp, objective, w, list_dot_product(w, m) AS ret, sqrt(list_dot_product(w, list_transform(range(1, k + 1), lambda i: d[i] * list_dot_product(r[i], list_transform(range(1, k + 1), lambda j: d[j] * w[j]))))) AS vol
+             FROM ww JOIN gg ON gg.grp = ww.grp),
+      op AS (SELECT grp, objective, w, ret, vol, (ret - 0.04) / vol AS sharpe FROM rv)"""
 
 
-def _optimum(spark, d):
-    m = P.moments(returns(spark, d), F.year("ts"), SYMBOLS).filter(F.col("n") > 30)
-    return P.optimise(m, len(SYMBOLS))
+def _segment_means(grp: str) -> str:
+    order = "CASE symbol " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SYMBOLS)) + " END"
+    return f"""al AS (SELECT {grp} AS grp, ts, {order} AS a, r FROM aligned), mo AS (SELECT grp, a, avg(r) * 252 AS m, count(*) AS n FROM al GROUP BY 1, 2),
+      co AS (SELECT x.grp, x.a, y.a AS b, covar_samp(x.r, y.r) * 252 AS c FROM al x JOIN al y ON x.grp = y.grp AND x.ts = y.ts GROUP BY 1, 2, 3)"""
+
+
+_ALL_ROWS = """SELECT g.grp, o.objective, CASE WHEN n > 30 THEN 'ok' ELSE 'insufficient_data' END AS status, {columns} FROM (SELECT grp, max(n) AS n FROM mo GROUP BY 1) g
+    CROSS JOIN (VALUES ('max_sharpe'), ('min_volatility'), ('max_returns')) o(objective) LEFT JOIN op ON op.grp = g.grp AND op.objective = o.objective"""
 
 
 @query(
     "optimal_weights",
     "X1",
-    f"WITH {_lattice('year(ts)')} SELECT * FROM op",
+    f"WITH RECURSIVE {_solver(_segment_means('year(ts)'))} " + _ALL_ROWS.format(columns=", ".join(f"w[{i + 1}] AS w{i}" for i in range(5)) + ", ret, vol, sharpe"),
     r="w0 w1 w2 w3 w4 ret vol sharpe",
 )
 def optimal_weights(spark, d):
-    o = _optimum(spark, d)
-    return o.select("grp", "objective", *[F.col("w")[i].alias(f"w{i}") for i in range(5)], "ret", "vol", "sharpe").withColumn(
+    o = O.optimal(P.moments(returns(spark, d), F.year("ts"), SYMBOLS))
+    return o.select("grp", "objective", "status", *[F.col("w")[i].alias(f"w{i}") for i in range(5)], "ret", "vol", "sharpe").withColumn(
         "grp", F.col("grp").cast("long")
     )
 
 
+_BRAND_MEANS = """pr AS (SELECT l_linestatus AS grp, date_trunc('month', l_shipdate) AS ts, p_brand AS brand, avg(l_extendedprice / l_quantity) AS p
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+      rt AS (SELECT grp, ts, brand, p / lag(p) OVER (PARTITION BY grp, brand ORDER BY ts) - 1 AS r FROM pr),
+      al AS (SELECT grp, ts, brand AS a, r FROM (SELECT *, count(r) OVER (PARTITION BY grp, ts) AS k FROM rt) WHERE k = 25 AND r IS NOT NULL),
+      mo AS (SELECT grp, a, avg(r) * 252 AS m, count(*) AS n FROM al GROUP BY 1, 2),
+      co AS (SELECT x.grp, x.a, y.a AS b, covar_samp(x.r, y.r) * 252 AS c FROM al x JOIN al y ON x.grp = y.grp AND x.ts = y.ts GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "optimal_weights_many",
+    "X1",
+    f"WITH RECURSIVE {_solver(_BRAND_MEANS)} " + _ALL_ROWS.format(columns="len(list_filter(w, lambda x: x > 0.001)) AS held, ret, vol, sharpe"),
+    r="ret:4 vol:5 sharpe:4",
+)
+def optimal_weights_many(spark, d):
+    """25 assets (brands), monthly: one group for each line status."""
+    li = S.table(spark, d, "lineitem").select("l_partkey", "l_linestatus", "l_shipdate", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    part = S.table(spark, d, "part").select("p_partkey", F.regexp_replace("p_brand", "#", "").alias("brand"))
+    month = li.join(part, li.l_partkey == part.p_partkey).groupBy(F.col("l_linestatus").alias("grp"), F.trunc("l_shipdate", "month").alias("ts"), "brand")
+    bars = month.agg(F.avg("price").alias("p"))
+    r = W.windowed(bars, W.Layout(("grp", "brand"), ("ts",)), [lambda w: {"r": W.simple_return(F.col("p"), w)}], back=1)
+    wide = r.groupBy("grp", "ts").pivot("brand", BRANDS).agg(F.max("r"))
+    o = O.optimal(O.moments(wide, F.col("grp"), BRANDS))
+    held = F.size(F.filter("w", lambda x: x > 0.001)).cast("long")
+    return o.select("grp", "objective", "status", F.when(F.col("w").isNotNull(), held).alias("held"), "ret", "vol", "sharpe")
+
+
 _FC = """lm AS (SELECT series, ts, value, (value / lag(value) OVER (PARTITION BY series ORDER BY ts) - 1) * 100 AS chg FROM market),
   ll AS (SELECT series, arg_max(value, ts) AS value, arg_max(chg, ts) AS chg FROM lm GROUP BY 1),
   fc AS (SELECT CASE series WHEN 'Treasury_10Y' THEN 'interest_rates' WHEN 'VIX' THEN 'inflation' ELSE 'gdp_growth' END AS factor,
@@ -187,14 +228,17 @@ def causal_adjustments(spark, d):
     )
 
 
+_SHIFT = "(SELECT coalesce(max(adjustment), 0) FROM av WHERE av.a = mo.a)"
+_SYMBOL_NO = "CASE symbol " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SYMBOLS)) + " END"
+
+
 @query(
     "traditional_versus_causal",
     "X3",
-    f"""WITH {_lattice("'all'")}, {_FC}, av AS (SELECT symbol, adjustment FROM segment_dim JOIN ad USING (sector)),
-        cs AS (SELECT *, ret + {" + ".join(f"w{i} * coalesce((SELECT adjustment FROM av WHERE symbol = '{s}'), 0)" for i, s in enumerate(SYMBOLS))} AS cret FROM rv),
-        cb AS (SELECT arg_max((ret, vol), (round((cret - 0.04) / vol, 9), -id)) AS z FROM cs)
-        SELECT op.ret AS traditional_return, z[1] AS causal_return, (z[1] - op.ret) * 100 AS return_gain, (op.vol - z[2]) * 100 AS volatility_cut,
-               (z[1] - 0.04) / z[2] - op.sharpe AS sharpe_gain FROM op CROSS JOIN cb WHERE objective = 'max_sharpe'""",
+    f"""SELECT p.ret AS traditional_return, c.ret AS causal_return, (c.ret - p.ret) * 100 AS return_gain, (p.vol - c.vol) * 100 AS volatility_cut,
+          c.sharpe - p.sharpe AS sharpe_gain FROM (WITH RECURSIVE {_solver(_segment_means("'all'"))} SELECT * FROM op WHERE objective = 'max_sharpe') p
+        CROSS JOIN (WITH RECURSIVE {_FC}, av AS (SELECT {_SYMBOL_NO} AS a, adjustment FROM segment_dim JOIN ad USING (sector)),
+          {_solver(_segment_means("'all'"), _SHIFT)} SELECT * FROM op WHERE objective = 'max_sharpe') c""",
     r="traditional_return causal_return return_gain:5 volatility_cut:5 sharpe_gain",
 )
 def traditional_versus_causal(spark, d):
