@@ -76,14 +76,28 @@ def weights(mu: np.ndarray, sigma: np.ndarray, objective: str, risk_free: float
     return z / z.sum()
 
 
-def moments(wide: DataFrame, group: Column, symbols: list[str]) -> DataFrame:
-    """``grp, mu, sigma, n``: annualised means and covariances (row-major) of the columns' complete rows, per group.
+def vectors(returns: DataFrame, keys: list[str], name: str, x: str, symbols: list[str]) -> DataFrame:
+    """``keys, v``: one array of all symbols' values per key; keys that lack one of them have no row.
+
+    ``returns`` has one row per key and symbol. Arrays rather than a column per symbol: Spark's planner multiplies a
+    condition on many renamed columns once for each of them.
+    """
+    by_key = returns.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, x))).alias("_m"))
+    values = F.transform(F.array(*[F.lit(s) for s in symbols]), lambda s: F.col("_m")[s].cast("double"))
+    return by_key.select(*keys, values.alias("v")).where(F.forall("v", lambda e: e.isNotNull()))
+
+
+def moments(rows: DataFrame, group: Column, symbols: list[str]) -> DataFrame:
+    """``grp, mu, sigma, n``: annualised means and covariances (row-major) of the arrays ``v``, per group.
 
     Every task sends one block per group, whatever the number of assets.
     """
     k = len(symbols)
-    whole = wide.dropna(subset=symbols).withColumn("_g", group.cast("string")).where("_g IS NOT NULL")
-    mean = whole.groupBy(F.col("_g").alias("grp")).agg(F.array(*[F.avg(s) * K.TRADING_DAYS for s in symbols]).alias("mu"))
+    whole = rows.select(group.cast("string").alias("grp"), "v").where("grp IS NOT NULL")
+    average = F.array(*[F.avg(F.col("v")[i]) for i in range(k)])
+    mean = whole.groupBy("grp").agg(average.alias("m")).select("grp", F.transform("m", lambda m: m * K.TRADING_DAYS).alias("mu"))
+    centre = whole.agg(average.alias("m")).scalar()
+    shifted = whole.withColumn("m", centre).select("grp", F.zip_with("v", "m", lambda v, m: v - m).alias("v"))
     schema = "grp string, sigma array<double>, n long"
 
     def covariance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +109,7 @@ def moments(wide: DataFrame, group: Column, symbols: list[str]) -> DataFrame:
                 out.append((g, c.ravel(), n))
             yield pd.DataFrame(out, columns=["grp", "sigma", "n"])
 
-    return M.gram(whole, symbols, F.col("_g")).mapInPandas(covariance, schema).join(mean, "grp")
+    return M.vector_gram(shifted, symbols).mapInPandas(covariance, schema).join(mean, "grp")
 
 
 def optimal(mom: DataFrame, objectives: tuple[str, ...] = OBJECTIVES, least: int = MIN_DATES) -> DataFrame:

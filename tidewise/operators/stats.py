@@ -256,6 +256,11 @@ def gram(df: DataFrame, columns: list[str], group: Column | None = None) -> Data
         F.array(*[F.col(c).cast("double") for c in columns]).alias("raw"),
         centre.alias("m"),
     ).select("grp", F.array(*[F.col("raw")[i] - F.col("m")[i] for i in range(len(columns))]).alias("v"))
+    return vector_gram(shifted, columns)
+
+
+def vector_gram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Cross products of [1, v] per group, as ``gram`` gives them, from rows ``grp string, v array<double>``."""
     k = len(columns) + 1
 
     room = max(1, 4_000_000 // (k * k))  # groups held at once: at most 32 MB of sums in a task
@@ -279,7 +284,7 @@ def gram(df: DataFrame, columns: list[str], group: Column | None = None) -> Data
         if acc:
             yield emit(acc)
 
-    cells = shifted.mapInPandas(fold, "grp string, i int, v double, n long")
+    cells = df.select("grp", "v").mapInPandas(fold, "grp string, i int, v double, n long")
     cells = cells.groupBy("grp", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     # k*k cells per group: bounded by the number of columns
     rows = cells.groupBy("grp").agg(

@@ -121,7 +121,7 @@ def parametric_metrics(spark, d):
     return P.parametric(S.nation_weights(spark, d), M.mean_annual(wide, SYMBOLS), M.covariance_annual(wide, SYMBOLS))
 
 
-BRANDS = [f"Brand{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+BRANDS = [f"Brand{i}" for i in range(1, 26)]
 
 
 def _solver(means: str, shift: str = "0.0", rounds: int = 4000) -> str:
@@ -172,7 +172,7 @@ def optimal_weights(spark, d):
     )
 
 
-_BRAND_MEANS = """pr AS (SELECT l_linestatus AS grp, date_trunc('month', l_shipdate) AS ts, p_brand AS brand, avg(l_extendedprice / l_quantity) AS p
+_BRAND_MEANS = """pr AS (SELECT l_linestatus AS grp, date_trunc('month', l_shipdate) AS ts, replace(p_brand, '#', '') AS brand, avg(l_extendedprice / l_quantity) AS p
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
       rt AS (SELECT grp, ts, brand, p / lag(p) OVER (PARTITION BY grp, brand ORDER BY ts) - 1 AS r FROM pr),
       al AS (SELECT grp, ts, brand AS a, r FROM (SELECT *, count(r) OVER (PARTITION BY grp, ts) AS k FROM rt) WHERE k = 25 AND r IS NOT NULL),
@@ -193,8 +193,7 @@ def optimal_weights_many(spark, d):
     month = li.join(part, li.l_partkey == part.p_partkey).groupBy(F.col("l_linestatus").alias("grp"), F.trunc("l_shipdate", "month").alias("ts"), "brand")
     bars = month.agg(F.avg("price").alias("p"))
     r = W.windowed(bars, W.Layout(("grp", "brand"), ("ts",)), [lambda w: {"r": W.simple_return(F.col("p"), w)}], back=1)
-    wide = r.groupBy("grp", "ts").pivot("brand", BRANDS).agg(F.max("r"))
-    o = O.optimal(O.moments(wide, F.col("grp"), BRANDS))
+    o = O.optimal(O.moments(O.vectors(r, ["grp", "ts"], "brand", "r", BRANDS), F.col("grp"), BRANDS))
     held = F.size(F.filter("w", lambda x: x > 0.001)).cast("long")
     return o.select("grp", "objective", "status", F.when(F.col("w").isNotNull(), held).alias("held"), "ret", "vol", "sharpe")
 
