@@ -42,6 +42,9 @@ def test_odd_rows(spark):
     by = sorted((str(r.doc_id), r.lang_pred) for r in got)
     assert by == sorted([("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("None", "fr"), ("4", "en"), ("5", "en"), ("6", by[-2][1])])
     assert all(r.score == 0 for r in got if r.lang_pred == "und")
+    frame = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 AS score", "'x' AS lang")
+    apart = frame.withColumn("told", langid.told(net, frame["text"])).select("doc_id", "told.lang_pred", "told.score").collect()
+    assert sorted(map(str, apart)) == sorted(map(str, got))
     none = langid.fit(df.limit(0))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
     assert langid.identify(df.limit(0), net).count() == 0

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewise.llm.bpe import _slices
@@ -148,9 +148,25 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return net
 
 
-def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
-    """Columns ``keep``, ``lang_pred`` and ``score``, one row per row; only the whole text decides. With ``inside`` the text
-    is a field of that kept column, and travels once."""
+def told(net: Network, text: Column) -> Column:
+    """``lang_pred, score`` of a text as a struct. Only the texts reach Python; all other columns of a row stay with Spark."""
+    shared = SparkSession.active().sparkContext.broadcast(net)  # the size of the network doesn't depend on the data
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        model, all_labels, all_scores = shared.value, [], []
+        whole = texts.to_pylist()
+        for lo, hi in _slices(whole):
+            labels, scores = model.predict(whole[lo:hi])
+            all_labels += labels
+            all_scores += scores
+        return pa.StructArray.from_arrays([pa.array(all_labels, pa.string()), pa.array(all_scores, pa.float64())], names=["lang_pred", "score"])
+
+    return predict(text.cast("string"))
+
+
+def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, ``lang_pred`` and ``score``, one row per row; only the whole text decides."""
     fields = [df.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
     shared = df.sparkSession.sparkContext.broadcast(net)  # the size of the network doesn't depend on the data
@@ -158,13 +174,12 @@ def identify(df: DataFrame, net: Network, text_col: str = "text", keep: tuple[st
     def run(batches):
         model = shared.value
         for b in batches:
-            texts = (b.column(inside).field(text_col) if inside else b.column("_text")).to_pylist()
+            texts = b.column("_text").to_pylist()
             for lo, hi in _slices(texts):
                 labels, scores = model.predict(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in keep], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    text = [] if inside else [F.col(text_col).cast("string").alias("_text")]
-    return df.select(*keep, *text).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
