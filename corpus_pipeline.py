@@ -7,7 +7,7 @@ these are; ``doc_id``, ``text``, ``lang``, ``source`` must be among them.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm import bpe, jaccard, langid, mixing, suffix
@@ -17,7 +17,7 @@ from tidewise.llm.common import stored, table
 LEAST_SCORE = 0.3
 
 
-def _packed(docs: DataFrame, *more: str) -> DataFrame:
+def _packed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """Whole rows as one column, so that no name of theirs can clash, and the columns that an operator needs."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
 
@@ -28,8 +28,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     net = langid.fit(docs.where(F.col("lang").isNotNull() & ~langid.held_out()))
     if not net.labels:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    told = langid.identify(_packed(docs), net, keep=("row",), inside="row")
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found = _packed(docs, langid.told(net, F.col("text")).alias("told"))
+    return found.where((F.col("told.lang_pred") != langid.UNKNOWN) & (F.col("told.score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
