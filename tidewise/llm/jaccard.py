@@ -31,6 +31,8 @@ SEEN, REPORT = 8, 1_000_000
 FRAGMENT, SMALL, CUTS = 1_000_000, 16, 4
 #: Bits of the filter for documents whose sets are needed. Whatever passes it wrongly is dropped by a join.
 FILTER_BITS = 1 << 24
+#: Characters of texts that are cut into shingles at once.
+PIECE = 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +105,7 @@ def _survey(batches, seen: int):
 
     for b in batches:
         keys, texts = b.column("_id"), b.column("_text").to_pylist()
-        for lo, hi in _slices(texts):
+        for lo, hi in _slices(texts, PIECE):
             sets = shingle_sets(texts[lo:hi])
             n = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), keys.slice(lo, hi - lo), pa.array(n), pa.array(_nodes(sets))], names=names)
@@ -150,7 +152,7 @@ def _entries(frequent, fragments: int):
         rows, size = ([], [], [], [], [], [], []), 0
         for b in batches:
             texts = b.column("_text").to_pylist()
-            for lo, hi in _slices(texts):
+            for lo, hi in _slices(texts, PIECE):
                 sets = shingle_sets(texts[lo:hi])
                 for s, node in zip(sets, _nodes(sets)):
                     n = len(s)
@@ -285,7 +287,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         words, done = shared.value, set()
         for b in batches:
             texts = b.column("_text").to_pylist()
-            for lo, hi in _slices(texts):
+            for lo, hi in _slices(texts, PIECE):
                 sets = shingle_sets(texts[lo:hi])
                 names = _nodes(sets)
                 at = names % FILTER_BITS
