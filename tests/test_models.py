@@ -217,3 +217,29 @@ def test_pairs_and_estimates_have_one_form(spark):
     df = spark.createDataFrame(rows, "y double, t double, c double")
     small, large = (E.estimate(d, "y", "t", ["c"], F.xxhash64("y", "t", "c")) for d in (df.limit(50), df))
     assert small.dtypes == large.dtypes and small.first()["method"] == "insufficient_data" and large.first()["sample_size"] == 150
+
+
+def test_bootstrap_replicates_equal_weighted_least_squares(trial):
+    fits = E.bootstrap_fits(trial.repartition(5), "y", "t", ["c"], F.col("i"), 9).toPandas().set_index("rep")["ate"]
+    d = trial.orderBy("i").toPandas()
+    x, y = np.column_stack([np.ones(len(d)), d["t"], d["c"]]), d["y"].to_numpy()
+    for rep, w in enumerate(E.poisson_weights(d["i"].to_numpy(), 9).T, 1):
+        root = np.sqrt(w)[:, None]
+        assert fits[rep] == pytest.approx(np.linalg.lstsq(x * root, y * root[:, 0], rcond=None)[0][1], rel=1e-9)
+
+
+def test_poisson_weights_have_the_shares_of_a_poisson_and_are_independent():
+    w = E.poisson_weights(np.arange(50_000), 10)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+    assert np.abs(np.corrcoef(w.T) - np.eye(10)).max() < 0.03
+
+
+def test_granger_in_blocks_equals_one_window_and_short_panels_give_nothing(spark):
+    p = panel(spark, 300)
+    rows = lambda g: {(r["cause"], r["effect"], r["lag"]): (r["f_statistic"], r["sample_size"]) for r in g.collect()}
+    one = rows(D.granger_lags(p, ["x", "y", "z"], 4))
+    many = rows(D.granger_lags(p, ["x", "y", "z"], 4, layout=W.Layout(("panel",), ("ts",), 32)))
+    assert len(one) == 24 and one.keys() == many.keys()
+    assert all(many[k] == (pytest.approx(one[k][0], rel=1e-7), one[k][1]) for k in one)
+    assert not rows(D.granger_lags(p.limit(11), ["x", "y"], 4)) and not rows(D.granger_lags(p.limit(0), ["x", "y"], 4))

@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,36 +45,85 @@ GRANGER = (
 )
 
 
-def granger_lags(panel: DataFrame, variables: list[str], max_lag: int = 10, causes=None, effects=None) -> DataFrame:
+def lag_blocks(panel: DataFrame, variables: list[str], max_lag: int, layout: W.Layout = PANEL) -> DataFrame:
+    """Cross products of [1, now, lag 1, ..., lag max_lag] of a panel's rows (one per time), ``key int, n long, s array``.
+
+    Key ``max_lag`` holds the block (row-major) of all rows that have all lags. The few rows before them come as they
+    are: key p is the row at position p, lags that it doesn't have as 0. A shorter lag L adds the rows L, ...,
+    max_lag - 1 to the block. Values are shifted by their means, so that sums stay well conditioned.
+    """
+    df = checkpointed(panel.dropna(subset=variables).select("ts", F.array(*[F.col(v).cast("double") for v in variables]).alias("raw")))
+    mean = df.agg(F.array(*[F.avg(F.col("raw")[i]) for i in range(len(variables))])).scalar()
+    df = df.select("*", mean.alias("mean"))
+    df = df.select(F.lit(1).alias("panel"), "ts", F.zip_with("raw", "mean", lambda x, m: x - m).alias("now"))
+    none = F.array_repeat(F.lit(0.0), len(variables))
+
+    def past(w):
+        return {"row": F.flatten(F.array("now", *[F.coalesce(F.lag("now", k).over(w), none) for k in range(1, max_lag + 1)]))}
+
+    rows = W.windowed(W.numbered(df, layout), layout, [past], back=max_lag).filter("pos > 0").select("pos", "row")
+    k = len(variables) * (max_lag + 1) + 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc, n = np.zeros((k, k)), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pos = b.column("pos").to_numpy()
+            m = np.column_stack([np.ones(len(pos)), b.column("row").flatten().to_numpy().reshape(len(pos), -1)])
+            early = np.flatnonzero(pos < max_lag)
+            if len(early):
+                yield M.vector_rows([(int(pos[i]), 1, m[i]) for i in early])
+            m = m[pos >= max_lag]
+            acc += m.T @ m
+            n += len(m)
+        if n:
+            yield M.vector_rows([(max_lag, n, acc.ravel())])
+
+    return M.summed(rows.mapInArrow(fold, M.VECTORS))
+
+
+def granger_lags(panel: DataFrame, variables: list[str], max_lag: int = 10, causes=None, effects=None, layout: W.Layout = PANEL) -> DataFrame:
     """F test of every (cause, effect) pair at every lag 1..max_lag.
 
-    For lag L the rows are those with L predecessors, so each L has its own cross products; all are built
-    in one pass. Effects are spread over tasks, which solve small systems only.
+    For lag L the rows are those with L predecessors. One block serves all lags (``lag_blocks``), so no row is copied per
+    lag; effects are spread over tasks, which solve the small systems of all causes at once. A panel beyond the
+    calendar's size takes a ``layout`` in blocks.
     """
     causes, effects = causes or variables, effects or variables
-    lagged = lagged_panel(panel, variables, range(1, max_lag + 1))
-    lag_cols = [f"{v}__{k}" for v in variables for k in range(1, max_lag + 1)]
-    usable = F.expr(f"filter(sequence(1, {max_lag}), k -> k <= pos)")
-    rows = lagged.filter("pos > 0").withColumn("_lag", F.explode(usable)).fillna(0.0, subset=lag_cols)
-    grams = M.gram(rows, [*variables, *lag_cols], F.col("_lag"))
-    spread = grams.withColumn("effect", F.explode(F.array(*[F.lit(e) for e in effects]))).repartition("effect", "grp")
+    parts = lag_blocks(panel, variables, max_lag, layout).agg(F.collect_list(F.struct("key", "n", "s")).alias("parts"))  # max_lag rows at most
+    spread = parts.withColumn("effect", F.explode(F.array(*[F.lit(e) for e in effects]))).repartition(len(effects), "effect")
+    k = len(variables) * (max_lag + 1) + 1
+
+    def left_over(block: np.ndarray, y: int, used: np.ndarray) -> np.ndarray:
+        """Residual sum of squares of y on each row of ``used``."""
+        xtx, xty = block[used[:, :, None], used[:, None, :]], block[used, y]
+        return np.maximum(block[y, y] - (M.solve_stack(xtx, xty) * xty).sum(axis=1), 0.0)
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for g, names, s, n, y in b[["grp", "names", "s", "n", "effect"]].itertuples(index=False):
-                names, lag = list(names), int(g)
-                m = np.asarray(s, dtype=float).reshape(len(names) + 1, -1)
-                own = [f"{y}__{k}" for k in range(1, lag + 1)]
-                free = n - 2 * lag - 1
-                restricted = M.solve(names, m, n, y, own)["ssr"]
-                for x in causes:
-                    if x == y or free <= 0 or n + lag < 3 * max_lag:
+            for y, found in b[["effect", "parts"]].itertuples(index=False):
+                found = {p["key"]: (p["n"], np.asarray(p["s"], dtype=float)) for p in found}
+                n, block = found.get(max_lag, (0, np.zeros(k * k)))
+                block = block.reshape(k, k).copy()
+                at = variables.index(y)
+                others = [x for x in causes if x != y]
+                for lag in range(max_lag, 0, -1):
+                    if lag < max_lag and lag in found:
+                        n += 1
+                        block += np.outer(found[lag][1], found[lag][1])
+                    free = n - 2 * lag - 1
+                    if free <= 0 or n + lag < 3 * max_lag or not others:
                         continue
-                    full = M.solve(names, m, n, y, own + [f"{x}__{k}" for k in range(1, lag + 1)])["ssr"]
-                    f = (restricted - full) / lag / (full / free) if full > 0 else float("inf")
-                    p = float(special.f_upper(np.array([f]), np.array([lag]), np.array([free]))[0])
-                    out.append((x, y, "granger_causality", lag, f, p, n + lag))
+                    steps = 1 + np.arange(1, lag + 1) * len(variables)
+                    own = np.concatenate([[0], steps + at])
+                    both = np.array([np.concatenate([own, steps + variables.index(x)]) for x in others])
+                    restricted, full = left_over(block, 1 + at, own[None, :])[0], left_over(block, 1 + at, both)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        f = np.where(full > 0, (restricted - full) / lag / (full / free), np.inf)
+                    p = special.f_upper(f, np.full(len(f), lag), np.full(len(f), free))
+                    out += [(x, y, "granger_causality", lag, fx, px, n + lag) for x, fx, px in zip(others, f.tolist(), p.tolist())]
             yield pd.DataFrame(out, columns=["cause", "effect", "method", "lag", "f_statistic", "p_value", "sample_size"])
 
     return spread.mapInPandas(test, GRANGER)

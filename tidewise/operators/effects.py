@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,61 +101,73 @@ def lookup(requests: DataFrame, trained: DataFrame, matrix: DataFrame) -> DataFr
 # ---------------------------------------------------------------- bootstrap
 
 
-def _uniform(row: np.ndarray, reps: int, seed: int) -> np.ndarray:
-    """Uniforms from a hash of (row, replicate): the same row has the same weights wherever it is read."""
+def _poisson_table() -> np.ndarray:
+    """Poisson(1) values by 16 bits of a hash; a probability is off by less than 1 / 65536."""
+    tail = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
+    return np.searchsorted(tail, (np.arange(65536) + 0.5) / 65536).astype(float)
+
+
+_POISSON = _poisson_table()
+
+
+def poisson_weights(row: np.ndarray, reps: int, seed: int = 42) -> np.ndarray:
+    """Poisson(1) bootstrap weights (rows x replicates).
+
+    One 64-bit hash of (row, k) gives the weights of four replicates: the same row has the same weights wherever it is read.
+    """
     with np.errstate(over="ignore"):
         z = row.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (
-            np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+            np.arange(1, -(-reps // 4) + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
         )
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(float) / 2.0**53
-
-
-_POISSON = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
-
-
-def poisson_weights(row: np.ndarray, reps: int, seed: int = 42) -> np.ndarray:
-    """Poisson(1) bootstrap weights (rows x replicates)."""
-    return np.searchsorted(_POISSON, _uniform(row, reps, seed)).astype(float)
+    return _POISSON[z.astype("<u8", copy=False).view("<u2")[:, :reps]]
 
 
-def bootstrap_ols(
+def bootstrap_fits(
     df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, reps: int = 1000
 ) -> DataFrame:
-    """Effect with bootstrap error, interval and p-value.
+    """``rep, ate, n``: the effect in every replicate (rep 1 on) and over all rows as they are (rep 0).
 
-    Every task keeps one weighted cross-product block per replicate; rows are never copied per replicate.
+    Every task keeps the weighted cross products of all replicates, one half of each symmetric block; rows are never
+    copied per replicate. The tasks' sums are added in a tree and all replicates are solved in one call.
     """
     cols = [outcome, treatment, *confounders]
     k = len(cols) + 1
-    src = df.dropna(subset=cols).select(row_id.cast("long").alias("_id"), *[F.col(c).cast("double") for c in cols])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc, n = np.zeros((reps + 1, k * k)), 0
-        for b in (whole.iloc[i : i + CHUNK] for whole in batches for i in range(0, len(whole), CHUNK)):
-            x = np.column_stack([np.ones(len(b)), b[cols].to_numpy(dtype=float)])
-            outer = (x[:, :, None] * x[:, None, :]).reshape(len(b), k * k)
-            w = np.column_stack([np.ones(len(b)), poisson_weights(b["_id"].to_numpy(), reps)])
-            acc += w.T @ outer
-            n += len(b)
+    left, right = np.triu_indices(k)
+    src = df.dropna(subset=cols).select(row_id.cast("long").alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc, n = np.zeros((reps + 1, len(left))), 0
+        for whole in batches:
+            for b in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
+                x = np.column_stack([np.ones(b.num_rows), b.column("_x").flatten().to_numpy().reshape(b.num_rows, -1)])
+                products = x[:, left] * x[:, right]
+                acc[0] += products.sum(axis=0)
+                acc[1:] += poisson_weights(b.column("_id").to_numpy(zero_copy_only=False), reps).T @ products
+            n += whole.num_rows
         if n:
-            yield pd.DataFrame({"rep": np.arange(reps + 1), "s": list(acc), "n": n})
+            yield M.vector_rows([(0, n, acc.ravel())])
 
-    parts = src.mapInPandas(fold, "rep int, s array<double>, n long")
-    sums = parts.select("rep", "n", F.posexplode("s").alias("i", "v")).groupBy("rep", "i").agg(
-        F.sum("v").alias("v"), F.sum("n").alias("n")
-    )
-    schema = "rep int, ate double, n long"
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, s in zip(b.column("n").to_pylist(), b.column("s")):
+                m = np.zeros((reps + 1, k, k))
+                m[:, left, right] = m[:, right, left] = s.values.to_numpy().reshape(reps + 1, -1)
+                x = [0, *range(2, k)]
+                ate = M.solve_stack(m[:, x][:, :, x], m[:, x, 1])[:, 1]
+                fits = [pa.array(np.arange(reps + 1), pa.int32()), pa.array(ate), pa.array(np.full(reps + 1, n, np.int64))]
+                yield pa.RecordBatch.from_arrays(fits, names=["rep", "ate", "n"])
+
+    return M.summed(src.mapInArrow(fold, M.VECTORS)).mapInArrow(fit, "rep int, ate double, n long")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.sort_values("i")["v"].to_numpy().reshape(k, k)
-        idx = [0, *range(2, k)]
-        beta = np.linalg.lstsq(m[np.ix_(idx, idx)], m[idx, 1], rcond=None)[0]
-        return pd.DataFrame([(int(pdf["rep"].iloc[0]), float(beta[1]), int(pdf["n"].iloc[0]))], columns=["rep", "ate", "n"])
 
-    fits = sums.groupBy("rep").applyInPandas(fit, schema)
+def bootstrap_ols(
+    df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column, reps: int = 1000
+) -> DataFrame:
+    """Effect with bootstrap error, interval and p-value."""
+    fits = bootstrap_fits(df, outcome, treatment, confounders, row_id, reps)
     rep = F.when(F.col("rep") > 0, F.col("ate"))
     out = fits.agg(
         F.max(F.when(F.col("rep") == 0, F.col("ate"))).alias("ate"),

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -294,6 +295,48 @@ def vector_gram(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("grp", F.array(*[F.lit(c) for c in columns]).alias("names"), "s", "n")
 
 
+def summed(parts: DataFrame) -> DataFrame:
+    """Sums of ``n`` and of the vectors ``s`` by ``key``, from rows ``key int, n long, s array<double>``.
+
+    For a bounded number of keys: a task holds one vector of each. Tasks of a first step add up what the tasks before sent,
+    a last task adds their sums, so it reads one vector a key and task whatever the number of rows was.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[int, list] = {}
+        for b in batches:
+            for key, n, s in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("s")):
+                v = s.values.to_numpy()
+                if key in acc:
+                    acc[key][0] += n
+                    acc[key][1] += v
+                else:
+                    acc[key] = [n, v.copy()]
+        if acc:
+            yield vector_rows([(key, n, s) for key, (n, s) in acc.items()])
+
+    fan = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(fan).mapInArrow(add, VECTORS).repartition(1).mapInArrow(add, VECTORS)
+
+
+VECTORS = "key int, n long, s array<double>"
+
+
+def vector_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    key, n, s = zip(*rows)
+    ends = np.cumsum([0, *map(len, s)]).astype(np.int32)
+    vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(s)))
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(n, pa.int64()), vectors], names=["key", "n", "s"])
+
+
+def solve_stack(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
+    """Least-squares coefficients of many systems of normal equations (m, k, k) and (m, k), scaled to a unit diagonal."""
+    d = np.sqrt(np.diagonal(xtx, axis1=1, axis2=2))
+    d = np.where(d > 0, d, 1.0)
+    inverse = np.linalg.pinv(xtx / (d[:, :, None] * d[:, None, :]), rcond=1e-14, hermitian=True)
+    return (inverse @ (xty / d)[:, :, None])[:, :, 0] / d
+
+
 def solve(names: list[str], s: np.ndarray, n: int, y: str, x: list[str]) -> dict:
     """Least squares of y on x (with constant) from a cross-product matrix."""
     idx = [0] + [1 + names.index(c) for c in x]

@@ -49,6 +49,42 @@ def granger_lag_one(spark, d):
     return g.select("cause", "effect", "f_statistic", "sample_size")
 
 
+def _sweep(lag: int) -> str:
+    """F statistic of every ordered pair at one lag: covariances with own lags, then the cause's, eliminated one after the other."""
+    names = ["y", *[f"y{k}" for k in range(1, lag + 1)], *[f"x{k}" for k in range(1, lag + 1)]]
+    cell = lambda a, b: f"{a}_{b}" if names.index(a) <= names.index(b) else f"{b}_{a}"
+    pairs = lambda left: [(a, b) for i, a in enumerate(left) for b in left[i:]]
+    lags = ", ".join(f"lag(r, {k}) OVER (PARTITION BY symbol ORDER BY pos) AS r{k}" for k in range(1, lag + 1))
+    own = ", ".join(f"y.r{k} AS y{k}, x.r{k} AS x{k}" for k in range(1, lag + 1))
+    sql = f"""w{lag} AS (SELECT symbol, pos, r, {lags} FROM pl),
+  t{lag} AS (SELECT x.symbol AS cause, y.symbol AS effect, y.r AS y, {own} FROM w{lag} y JOIN w{lag} x ON x.pos = y.pos AND x.symbol <> y.symbol WHERE y.pos > {lag}),
+  e{lag}_0 AS (SELECT cause, effect, count(*) AS n, {", ".join(f"covar_pop({a}, {b}) AS {cell(a, b)}" for a, b in pairs(names))} FROM t{lag} GROUP BY 1, 2)"""
+    left, before = list(names), []
+    for step, gone in enumerate(names[1:], 1):
+        if step == lag + 1:
+            before = [", y_y AS restricted"]
+        elif step > lag + 1:
+            before = [", restricted"]
+        left.remove(gone)
+        cells = ", ".join(f"{cell(a, b)} - {cell(a, gone)} * {cell(b, gone)} / {cell(gone, gone)} AS {cell(a, b)}" for a, b in pairs(left))
+        sql += f",\n  e{lag}_{step} AS (SELECT cause, effect, n, {cells}{''.join(before)} FROM e{lag}_{step - 1})"
+    return sql
+
+
+def _statistic(lag: int) -> str:
+    return f"SELECT cause, effect, {lag} AS lag, (restricted - y_y) / {lag} / (y_y / (n - {2 * lag + 1})) AS f_statistic, n + {lag} AS sample_size FROM e{lag}_{2 * lag}"
+
+
+@query(
+    "granger_statistics",
+    "C1 C2 T8",
+    f"WITH {PANEL}, " + ",\n".join(_sweep(k) for k in range(1, 6)) + "\n" + " UNION ALL ".join(_statistic(k) for k in range(1, 6)),
+    r="f_statistic",
+)
+def granger_statistics(spark, d):
+    return D.granger_lags(panel(spark, d), SYMBOLS, 5).select("cause", "effect", "lag", "f_statistic", "sample_size")
+
+
 @query("granger_tests", "C1 T8")
 def granger_tests(spark, d):
     return D.best_lag(D.granger_lags(panel(spark, d), SYMBOLS))
