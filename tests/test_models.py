@@ -242,4 +242,8 @@ def test_granger_in_blocks_equals_one_window_and_short_panels_give_nothing(spark
     many = rows(D.granger_lags(p, ["x", "y", "z"], 4, layout=W.Layout(("panel",), ("ts",), 32)))
     assert len(one) == 24 and one.keys() == many.keys()
     assert all(many[k] == (pytest.approx(one[k][0], rel=1e-7), one[k][1]) for k in one)
+    c = lambda **more: {(r["cause"], r["effect"]): (r["optimal_lag"], r["n"], pytest.approx(r["correlation"])) for r in D.lagged_correlation(p, ["x", "y", "z"], 4, **more).collect()}
+    assert len(c()) == 6 and c() == {k: (*w[:2], w[2].expected) for k, w in c(layout=W.Layout(("panel",), ("ts",), 32)).items()}
+    flat = p.withColumn("z", F.lit(0.1))
+    assert {(r["cause"], r["effect"]) for r in D.lagged_correlation(flat, ["x", "y", "z"], 4).collect()} == {("x", "y"), ("y", "x")}
     assert not rows(D.granger_lags(p.limit(11), ["x", "y"], 4)) and not rows(D.granger_lags(p.limit(0), ["x", "y"], 4))

@@ -6,6 +6,7 @@ only; all pairs are then tested on those. No pair costs a pass over the data.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -83,6 +84,25 @@ def lag_blocks(panel: DataFrame, variables: list[str], max_lag: int, layout: W.L
     return M.summed(rows.mapInArrow(fold, M.VECTORS))
 
 
+def _by_effect(blocks: DataFrame, effects: list[str]) -> DataFrame:
+    """``effect, parts``: the parts of ``lag_blocks`` (max_lag rows at most) for each effect, spread over tasks."""
+    parts = blocks.agg(F.collect_list(F.struct("key", "n", "s")).alias("parts"))
+    return parts.withColumn("effect", F.explode(F.array(*[F.lit(e) for e in effects]))).repartition(len(effects), "effect")
+
+
+def _each_lag(parts, variables: list[str], max_lag: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Lag, number of rows and their block, from max_lag down: each lag adds its first row to the block of the lag above."""
+    found = {p["key"]: (p["n"], np.asarray(p["s"], dtype=float)) for p in parts}
+    k = len(variables) * (max_lag + 1) + 1
+    n, block = found.get(max_lag, (0, np.zeros(k * k)))
+    block = block.reshape(k, k).copy()
+    for lag in range(max_lag, 0, -1):
+        if lag < max_lag and lag in found:
+            n += 1
+            block += np.outer(found[lag][1], found[lag][1])
+        yield lag, n, block
+
+
 def granger_lags(panel: DataFrame, variables: list[str], max_lag: int = 10, causes=None, effects=None, layout: W.Layout = PANEL) -> DataFrame:
     """F test of every (cause, effect) pair at every lag 1..max_lag.
 
@@ -91,9 +111,7 @@ def granger_lags(panel: DataFrame, variables: list[str], max_lag: int = 10, caus
     calendar's size takes a ``layout`` in blocks.
     """
     causes, effects = causes or variables, effects or variables
-    parts = lag_blocks(panel, variables, max_lag, layout).agg(F.collect_list(F.struct("key", "n", "s")).alias("parts"))  # max_lag rows at most
-    spread = parts.withColumn("effect", F.explode(F.array(*[F.lit(e) for e in effects]))).repartition(len(effects), "effect")
-    k = len(variables) * (max_lag + 1) + 1
+    spread = _by_effect(lag_blocks(panel, variables, max_lag, layout), effects)
 
     def left_over(block: np.ndarray, y: int, used: np.ndarray) -> np.ndarray:
         """Residual sum of squares of y on each row of ``used``."""
@@ -103,16 +121,10 @@ def granger_lags(panel: DataFrame, variables: list[str], max_lag: int = 10, caus
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for y, found in b[["effect", "parts"]].itertuples(index=False):
-                found = {p["key"]: (p["n"], np.asarray(p["s"], dtype=float)) for p in found}
-                n, block = found.get(max_lag, (0, np.zeros(k * k)))
-                block = block.reshape(k, k).copy()
+            for y, parts in b[["effect", "parts"]].itertuples(index=False):
                 at = variables.index(y)
                 others = [x for x in causes if x != y]
-                for lag in range(max_lag, 0, -1):
-                    if lag < max_lag and lag in found:
-                        n += 1
-                        block += np.outer(found[lag][1], found[lag][1])
+                for lag, n, block in _each_lag(parts, variables, max_lag):
                     free = n - 2 * lag - 1
                     if free <= 0 or n + lag < 3 * max_lag or not others:
                         continue
@@ -161,28 +173,38 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(special.t_two_sided(t, free))
 
 
-def lagged_correlation(panel: DataFrame, variables: list[str], max_lag: int = 10, least: int = 30) -> DataFrame:
-    """For each ordered pair the lag with the largest absolute correlation of cause(t-lag) with effect(t)."""
-    df = checkpointed(panel.dropna(subset=variables)).withColumn("panel", F.lit(1))
-    df = df.select("panel", "ts", F.array(*[F.col(v).cast("double") for v in variables]).alias("now"))
+def lagged_correlation(panel: DataFrame, variables: list[str], max_lag: int = 10, least: int = 30, layout: W.Layout = PANEL) -> DataFrame:
+    """For each ordered pair the lag with the largest absolute correlation of cause(t-lag) with effect(t), the smallest of equals.
 
-    def past(w):
-        return {"past": F.array(*[F.lag("now", k).over(w) for k in range(1, max_lag + 1)])}
-
-    # lag, cause and effect become rows one after the other: small code, and partial sums before the shuffle
-    rows = W.windowed(df, PANEL, [past], back=max_lag)
-    rows = rows.select("now", F.posexplode("past").alias("k", "xs")).filter(F.col("xs").isNotNull())
-    rows = rows.select("k", "now", F.posexplode("xs").alias("i", "x"))
-    rows = rows.select("k", "i", "x", F.posexplode("now").alias("j", "y")).filter("i <> j")
-    names = F.array(*[F.lit(v) for v in variables])
-    c = rows.groupBy("k", "i", "j").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
-    c = c.filter((F.col("n") > least) & F.col("corr").isNotNull()).select(
-        names[F.col("i")].alias("cause"), names[F.col("j")].alias("effect"), (F.col("k") + 1).alias("lag"), "corr", "n"
-    )
-    at = F.struct(F.round(F.abs("corr"), 12), -F.col("lag"))
-    best = c.groupBy("cause", "effect").agg(
-        F.max_by("lag", at).alias("optimal_lag"), F.max_by("corr", at).alias("correlation"), F.max_by("n", at).alias("n")
-    )
+    All lags come from one block of cross products. Lags with ``least`` rows or fewer, or on which either side is constant,
+    don't count.
+    """
+    v = len(variables)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for effect, parts in b[["effect", "parts"]].itertuples(index=False):
+                y = 1 + variables.index(effect)
+                best: dict[str, tuple] = {}
+                for lag, n, block in _each_lag(parts, variables, max_lag):
+                    if n <= least:
+                        continue
+                    x = 1 + lag * v + np.arange(v)
+                    squares = np.append(block[x, x], block[y, y])
+                    spread = squares - np.append(block[0, x], block[0, y]) ** 2 / n
+                    spread = np.where(spread > 1e-12 * squares, spread, 0.0)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        r = (block[x, y] - block[0, x] * block[0, y] / n) / np.sqrt(spread[:-1] * spread[-1])
+                    for cause, c in zip(variables, r.tolist()):
+                        at = (round(abs(c), 12), -lag)
+                        if cause != effect and np.isfinite(c) and (cause not in best or at > best[cause][0]):
+                            best[cause] = (at, lag, c, n)
+                out += [(cause, effect, lag, c, n) for cause, (_, lag, c, n) in best.items()]
+            yield pd.DataFrame(out, columns=["cause", "effect", "optimal_lag", "correlation", "n"])
+
+    blocks = _by_effect(lag_blocks(panel, variables, max_lag, layout), variables)
+    best = blocks.mapInPandas(pick, "cause string, effect string, optimal_lag int, correlation double, n long")
     p = correlation_p("correlation", "n")
     return best.withColumn("p_value", p).withColumn(
         "is_causal", (F.col("p_value") < ALPHA) & (F.abs("correlation") > 0.1)
@@ -269,7 +291,7 @@ def transfer_entropy_test(counts: DataFrame, shuffles: int = 100, bins: int = 10
             return own - plogp(c.ravel(), n) + plogp(c.sum(axis=0).ravel(), n)
 
         value = te(table)
-        rng = np.random.default_rng(seed + sum(map(ord, src + dst)))
+        rng = np.random.default_rng([seed, zlib.crc32(f"{src}\0{dst}".encode())])
         rows, left = table.sum(axis=1), table.sum(axis=0)
         hits = 0
         for _ in range(shuffles):
