@@ -228,6 +228,18 @@ def test_bootstrap_replicates_equal_weighted_least_squares(trial):
         assert fits[rep] == pytest.approx(np.linalg.lstsq(x * root, y * root[:, 0], rcond=None)[0][1], rel=1e-9)
 
 
+def test_placebo_treatment_is_a_permutation_whatever_the_partitions(spark):
+    rows = spark.range(5000).selectExpr("id", "exp(pmod(xxhash64(id), 97) / 10.0) AS t")
+    one = {r["id"]: r["placebo"] for r in E.permuted(rows.repartition(1), "t", F.col("id")).collect()}
+    many = {r["id"]: r["placebo"] for r in E.permuted(rows.repartition(7), "t", F.col("id")).collect()}
+    d = {r["id"]: r["t"] for r in rows.collect()}
+    assert one == many and sorted(one.values()) == sorted(d.values())
+    assert abs(np.corrcoef([d[i] for i in range(5000)], [one[i] for i in range(5000)])[0, 1]) < 0.05
+    same = spark.range(300).selectExpr("1 AS id", "id AS t")  # one id for all rows
+    assert sorted(r["placebo"] for r in E.permuted(same, "t", F.col("id")).collect()) == list(range(300))
+    assert E.permuted(rows.limit(0), "t", F.col("id")).count() == 0
+
+
 def test_poisson_weights_have_the_shares_of_a_poisson_and_are_independent():
     w = E.poisson_weights(np.arange(50_000), 10)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)

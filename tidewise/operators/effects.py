@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidewise.functions import scalar as C
 from tidewise.functions import special
+from tidewise.operators import series as W
 from tidewise.operators import stats as M
 from tidewise.session import checkpointed
 from tidewise.sources import tables as S
@@ -180,18 +181,27 @@ def bootstrap_ols(
     return out.select(F.lit(outcome).alias("outcome"), F.lit(treatment).alias("treatment"), "*", p.alias("p_value"))
 
 
-def placebo(df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column) -> DataFrame:
-    """Effect against the effect of a treatment that cannot matter: the same values, drawn by a row hash.
+def permuted(df: DataFrame, column: str, row_id: Column, out: str = "placebo") -> DataFrame:
+    """``df`` with ``out``: the values of ``column`` dealt to the rows by a permutation that hashes of the row ids fix.
 
-    The fake treatment has the treatment's mean and deviation and is independent of everything else.
+    Rows get exact positions in two orders, by two hashes; position p of the first takes the value of position p of
+    the second. Both orders are cut into range slices, so no task sees all rows; rows with one id stay apart.
     """
+    rows = checkpointed(df.withColumns({"_id": row_id.cast("long"), "_all": F.lit(0), "_row": F.monotonically_increasing_id()}))
+    layout = W.Layout(("_all",), ("_turn", "_id", "_row"))
+
+    def order(salt: str, *columns: str) -> DataFrame:
+        return W.positions(rows.select("_all", F.xxhash64("_id", F.lit(salt)).alias("_turn"), "_id", "_row", *columns), layout, out="_pos")
+
+    dealt = order("value", column).select("_pos", F.col(column).alias(out))
+    return order("place", *df.columns).join(dealt, "_pos").select(*df.columns, out)
+
+
+def placebo(df: DataFrame, outcome: str, treatment: str, confounders: list[str], row_id: Column) -> DataFrame:
+    """Effect against the effect of a treatment that cannot matter: the same values, permuted over the rows."""
     cols = [outcome, treatment, *confounders]
-    whole = df.dropna(subset=cols)
-    sd, mean = whole.agg(F.stddev_samp(treatment)).scalar(), whole.agg(F.avg(treatment)).scalar()
-    u1 = (F.pmod(F.xxhash64(row_id, F.lit("a")), F.lit(1000003)) + 0.5) / 1000003
-    u2 = (F.pmod(F.xxhash64(row_id, F.lit("b")), F.lit(1000003)) + 0.5) / 1000003
-    normal = F.sqrt(-2 * F.ln(u1)) * F.cos(6.283185307179586 * u2)
-    fake = whole.withColumn("placebo", mean + sd * normal)
+    whole = df.dropna(subset=cols).select(*cols, row_id.cast("long").alias("_key"))
+    fake = permuted(whole, treatment, F.col("_key"))
     jobs = [(outcome, treatment, confounders), (outcome, "placebo", confounders)]
     return ols_effects(fake, jobs)
 

@@ -237,7 +237,7 @@ _EV = """pv AS (SELECT event_type AS effect, lag(event_type) OVER (PARTITION BY
 def _event_evidence(spark, d):
     from tidewise.operators import series as W
 
-    ev = S.table(spark, d, "events")
+    ev = S.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
     layout = W.block_layout(ev, ("user_id",), ("ts", "event_id"))
     ev = W.windowed(ev, layout, [lambda w: {"cause": F.lag("event_type").over(w)}], back=1)
     return ev.filter(F.col("cause").isNotNull()).select(
