@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,11 @@ def test_lake_and_registry_layouts(spark, tmp_path):
     assert one["model_id"] == "a_1" and one["metrics"] == {"n": 3.0} and one["is_active"]
     both = jsoncols.parse_registry(spark.createDataFrame([(flat,), (deep,), ("broken",)], "v string"), "v")
     assert sorted((r["model_id"], r["is_active"]) for r in both.collect()) == [("a_1", True), ("a_2", False)]
+
+
+def test_shapes_list_files_and_folders_of_files(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(5).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(f"{tmp_path}/split.parquet")
+    pq.write_table(pa.table({"a": [1, 2], "b": ["x", None], "c": [0.5, 1.5]}), f"{tmp_path}/one.parquet")
+    got = {r["name"]: (r["rows"], r["columns"]) for r in lake.shapes(spark, str(tmp_path)).collect()}
+    assert got == {"many": (30, 1), "split": (5, 2), "one": (2, 3)}

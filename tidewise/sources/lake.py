@@ -47,7 +47,8 @@ class Lake:
         return file_info(self.spark, zone, depth="/([^/]+)/[^/]*$")
 
 
-def file_info(spark: SparkSession, folder: str, depth: str = "/([^/]+)\\.parquet$") -> DataFrame:
+def file_info(spark: SparkSession, folder: str, depth: str = "/([^/]+)\\.parquet(?:/.*)?$") -> DataFrame:
+    """One row per table of a folder: a Parquet file, or a folder of them with such a name."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
@@ -67,3 +68,12 @@ def describe(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns")
     )
+
+
+def shapes(spark, folder: str) -> DataFrame:
+    """``describe`` of every Parquet table in a folder; empty for a folder without any. The driver learns the names only."""
+    names = sorted(r["name"] for r in file_info(spark, folder).select("name").distinct().collect())
+    out = spark.createDataFrame([], "name string, rows long, columns int")
+    for name in names:
+        out = out.unionByName(describe(spark.read.parquet(f"{folder}/{name}.parquet"), name))
+    return out
