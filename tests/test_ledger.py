@@ -1,6 +1,7 @@
 """Ledger folds, scenario edge cases and streams."""
 
 import datetime as dt
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,26 @@ def test_stream_ledger_equals_batch(spark, tmp_path):
     assert [(x["symbol"], x["shares"], x["avg_cost"]) for x in got["p"]["positions"]] == [("A", 15.0, 10.56)]
 
 
+def test_stream_ledger_packs_an_account_into_one_row(spark, tmp_path):
+    trades = [(p, n, f"S{(n * 7 + i) % 4}", "sell" if (n + i) % 3 == 0 else "buy", None if n == 5 else 1.0 + n % 4, 10.0 + i % 9) for i, p in enumerate([None, *range(120)]) for n in range(1, 13)]
+    schema = "portfolio long, n long, symbol string, side string, shares double, price double"
+    df = spark.createDataFrame(trades, schema)
+    packed = M._packed(L.checked(df.repartition(5)), ("shares", "n")).collect()
+    assert len(packed) == 121 and len({r["bucket"] for r in packed}) > 60
+    one = next(pickle.loads(r["trades"]) for r in packed if r["portfolio"] == 7)
+    assert one[3] == sorted(x for x in one[3] if x is not None) + [None] and one[0].count(False) == 1
+    for part in range(2):  # the second batch finds what the first one left
+        df.filter((F.col("n") > 6) == (part == 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{part}"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in*"))
+        done = M.with_state_store(spark, lambda: M.drain(M.ledger(stream, ("n",), 200.0), "update", checkpoint=str(tmp_path / "ck")))
+    got = {r["portfolio"]: (r["cash"], [tuple(x) for x in r["positions"]], r["accepted"], r["rejected"]) for r in done.collect()}
+    want = {}
+    for r in L.holdings(df.fillna({"portfolio": -1}), ("n",), 200.0).collect():
+        held = want.setdefault(None if r["portfolio"] == -1 else r["portfolio"], (r["cash"], [], r["accepted"], r["rejected"]))[1]
+        held += [(r["symbol"], r["shares"], r["avg_cost"])] if r["symbol"] else []
+    assert len(want) == 121 and got == want
+
+
 def test_a_stream_reads_its_table_only(spark, tmp_path):
     whole = spark.range(40).selectExpr("id AS n")
     whole.repartition(3).write.parquet(str(tmp_path / "a.parquet"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.operators import ledger as L
@@ -59,44 +63,69 @@ def freshness(quotes: DataFrame, as_of: str, seconds: int = 30) -> DataFrame:
     return quotes.withColumn("age", age).withColumn("is_fresh", age.between(0, seconds))
 
 
+#: Accounts are dealt to so many groups, whose trades of one micro-batch are sorted and packed together.
+BUCKETS = 2048
+FOLDED = ("is_valid", "symbol", "side", "shares", "price")
+
+
+def _packed(trades: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``bucket, portfolio, trades``: one row per account of a micro-batch, its trades in order (null and NaN last) as
+    columns of what the fold reads."""
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        account = rows["portfolio"].combine_chunks().dictionary_encode(null_encoding="encode")
+        names = [str(i) for i in range(len(order) + 1)]
+        keys = pa.table([account.indices, *(rows[c] for c in order)], names=names)
+        at = pc.sort_indices(keys, [(c, "ascending") for c in names], null_placement="at_end")
+        index = account.indices.take(at).to_numpy()
+        first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+        columns = [rows[c].take(at).to_pylist() for c in FOLDED]
+        ends = [*first[1:].tolist(), len(index)]
+        trades = [pickle.dumps([c[i:j] for c in columns]) for i, j in zip(first.tolist(), ends)]
+        out = [pa.repeat(key[0], len(first)), account.dictionary.take(pa.array(index[first])), pa.array(trades, pa.binary())]
+        return pa.table(out, names=["bucket", "portfolio", "trades"])
+
+    kind = trades.schema["portfolio"].dataType.simpleString()
+    columns = dict.fromkeys(["portfolio", *FOLDED, *order])
+    bucket = F.pmod(F.xxhash64("portfolio"), F.lit(BUCKETS)).alias("_bucket")
+    return trades.select(bucket, *columns).groupBy("_bucket").applyInArrow(pack, f"bucket long, portfolio {kind}, trades binary")
+
+
 def ledger(trades: DataFrame, order: tuple[str, ...], opening: float = L.OPENING_CASH) -> DataFrame:
     """Trade ledger with keyed state (cash and positions); emits the changed account after each batch.
 
     Trades of one micro-batch are applied in order; the source's ``maxFilesPerTrigger`` bounds a batch. A trade that
-    arrives in a later batch is applied then, whatever its time.
+    arrives in a later batch is applied then, whatever its time. Rows, calls and state all cost far more at the border of
+    JVM and Python than the fold itself: so an account is one row of a batch and one value of the state, and accounts
+    share calls by bucket.
     """
-    trades = L.checked(trades)
+    packed = _packed(L.checked(trades), order)
     from pyspark.sql.streaming import StatefulProcessor
 
     kind = trades.schema["portfolio"].dataType.simpleString()
-    out = f"portfolio {kind}, cash double, positions array<struct<symbol:string,shares:double,avg_cost:double>>, accepted long, rejected long"
-    keys = list(order)
+    account = "cash double, positions string, accepted long, rejected long"
+    names = ("symbol", "shares", "avg_cost")
 
-    class Account(StatefulProcessor):
+    class Accounts(StatefulProcessor):
         def init(self, handle) -> None:
-            self.cash = handle.getValueState("account", "cash double, accepted long, rejected long")
-            self.held = handle.getMapState("positions", "symbol string", "shares double, avg_cost double")
+            self.accounts = handle.getMapState("accounts", f"portfolio {kind}", account)
 
         def handleInputRows(self, key, rows, timerValues):
-            cash, good, bad = self.cash.get() if self.cash.exists() else (opening, 0, 0)
-            held = {k[0]: (v[0], v[1]) for k, v in self.held.iterator()}
-            known = set(held)
-            batch = pd.concat(list(rows)).sort_values(keys, ignore_index=True)
-            for valid, sym, side, n, price in batch[["is_valid", "symbol", "side", "shares", "price"]].itertuples(index=False):
-                cash, what = L.step(cash, held, valid, sym, side, n, price)
-                good, bad = good + (what == "ok"), bad + (what != "ok")
-            for gone in known - set(held):
-                self.held.removeKey((gone,))
-            for s, v in held.items():
-                self.held.updateValue((s,), v)
-            self.cash.update((float(cash), int(good), int(bad)))
-            positions = [{"symbol": s, "shares": float(v[0]), "avg_cost": float(v[1])} for s, v in sorted(held.items())]
-            yield pd.DataFrame({"portfolio": [key[0]], "cash": [cash], "positions": [positions], "accepted": [good], "rejected": [bad]})
+            for _, portfolio, trades in rows:
+                cash, positions, good, bad = self.accounts.getValue((portfolio,)) or (opening, "[]", 0, 0)
+                held = {p["symbol"]: (p["shares"], p["avg_cost"]) for p in json.loads(positions)}
+                for valid, sym, side, n, price in zip(*pickle.loads(trades)):
+                    cash, what = L.step(cash, held, valid, sym, side, n, price)
+                    good, bad = good + (what == "ok"), bad + (what != "ok")
+                positions = json.dumps([dict(zip(names, (s, float(n), float(c)))) for s, (n, c) in sorted(held.items())])
+                self.accounts.updateValue((portfolio,), (float(cash), positions, good, bad))
+                yield Row(portfolio=portfolio, cash=float(cash), positions=positions, accepted=good, rejected=bad)
 
         def close(self) -> None:
             pass
 
-    return trades.groupBy("portfolio").transformWithStateInPandas(Account(), out, "Update", "None")
+    done = packed.groupBy("bucket").transformWithState(Accounts(), f"portfolio {kind}, {account}", "Update", "None")
+    return done.withColumn("positions", F.from_json("positions", "array<struct<symbol:string,shares:double,avg_cost:double>>"))
 
 
 # ---------------------------------------------------------------- running a stream to its end
