@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tidewise.llm import queries
@@ -60,6 +61,17 @@ def test_planted_repeats(spark, seed):
     assert got(S.report(df, sizes=sizes)) == brute(rows)
 
 
+def test_anchors_are_dealt_to_all_fragments():
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(600)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["_text"])
+    rows = Counter()
+    for out in S._stretches(16, S.SIZES)(iter([batch])):
+        for f, data in zip(out.column("fragment").to_pylist(), out.column("data").to_pylist()):
+            rows[f] += len(data)
+    assert len(rows) == 16 and max(rows.values()) < 2 * min(rows.values())
+
+
 def test_query_over_all_documents(spark):
     rows = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(queries.op8_repeated_strings(spark, SF)) == brute(rows)
