@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tidewise.llm import jaccard as J
@@ -43,6 +44,13 @@ def got(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
+def test_texts_leave_arrow_in_pieces(monkeypatch):
+    texts = ["a" * 30, "", "é" * 70, "b" * 300, "c", ""]
+    monkeypatch.setattr(J, "PIECE", 100)
+    got = list(J._pieces(pa.array(texts)))
+    assert [(lo, hi) for lo, hi, _ in got] == [(0, 3), (3, 4), (4, 6)] and [t for *_, part in got for t in part] == texts
+
+
 def test_query_over_all_documents(spark):
     rows = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(queries.op5_jaccard_join(spark, SF)) == brute(rows)

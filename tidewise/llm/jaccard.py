@@ -42,6 +42,12 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _pieces(texts: pa.Array):
+    """Bounds and texts of pieces of a column; never are all of its texts Python strings at once."""
+    for lo, hi in _slices([range(n) for n in pc.utf8_length(texts).to_pylist()], PIECE):
+        yield lo, hi, texts.slice(lo, hi - lo).to_pylist()
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: five neighbouring words, or all words where there are fewer."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
@@ -104,9 +110,9 @@ def _survey(batches, seen: int):
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _signed(h), pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.int64())], names=names)
 
     for b in batches:
-        keys, texts = b.column("_id"), b.column("_text").to_pylist()
-        for lo, hi in _slices(texts, PIECE):
-            sets = shingle_sets(texts[lo:hi])
+        keys = b.column("_id")
+        for lo, hi, texts in _pieces(b.column("_text")):
+            sets = shingle_sets(texts)
             n = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), keys.slice(lo, hi - lo), pa.array(n), pa.array(_nodes(sets))], names=names)
             kept += sets
@@ -151,9 +157,8 @@ def _entries(frequent, fragments: int):
     def run(batches):
         rows, size = ([], [], [], [], [], [], []), 0
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            for lo, hi in _slices(texts, PIECE):
-                sets = shingle_sets(texts[lo:hi])
+            for _, _, texts in _pieces(b.column("_text")):
+                sets = shingle_sets(texts)
                 for s, node in zip(sets, _nodes(sets)):
                     n = len(s)
                     if not n:
@@ -164,8 +169,8 @@ def _entries(frequent, fragments: int):
                     rare = s[~common][:p]
                     rows[0].append(rare)
                     rows[1].append(np.full(len(rare), node, np.int64))
-                    rows[2].append(np.full(len(rare), min(int(np.log(n) / np.log(1.05)), 255), np.int64))
-                    rows[3].append(np.arange(len(rare)) * 256 // p)
+                    rows[2].append(np.full(len(rare), min(int(np.log(n) / np.log(1.05)), 255), np.uint8))
+                    rows[3].append((np.arange(len(rare)) * 256 // p).astype(np.uint8))
                     if len(rare) < p:
                         often = s[common][np.argsort(rank[at[common]])][: p - len(rare)]
                         rows[4].append(often)
@@ -286,9 +291,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         words, done = shared.value, set()
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            for lo, hi in _slices(texts, PIECE):
-                sets = shingle_sets(texts[lo:hi])
+            for _, _, texts in _pieces(b.column("_text")):
+                sets = shingle_sets(texts)
                 names = _nodes(sets)
                 at = names % FILTER_BITS
                 out = []

@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,9 +156,8 @@ def told(net: Network, text: Column) -> Column:
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         model, all_labels, all_scores = shared.value, [], []
-        whole = texts.to_pylist()
-        for lo, hi in _slices(whole):
-            labels, scores = model.predict(whole[lo:hi])
+        for lo, hi in _slices([range(n or 0) for n in pc.utf8_length(texts).to_pylist()]):
+            labels, scores = model.predict(texts.slice(lo, hi - lo).to_pylist())
             all_labels += labels
             all_scores += scores
         return pa.StructArray.from_arrays([pa.array(all_labels, pa.string()), pa.array(all_scores, pa.float64())], names=["lang_pred", "score"])
