@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -46,6 +48,13 @@ def test_nothing_to_pack():
     assert list(s.documents()) == []
 
 
+def test_plain_parts_are_never_odd():
+    parts = ["", "\n", "a", "\na", "a b", "\n\ta", "a\t", "é", "aé", "a\x85", "\u2003a", "\x1ca", "a\u00a0", "中", "\n.", "x\x85y", "~!", "\n!x~"]
+    plain = pc.match_substring_regex(pa.array(parts), tokenfile.PLAIN).to_pylist()
+    assert [p for p, x in zip(parts, plain) if x] == ["a", "\na", "a b", "\n.", "x\x85y", "~!", "\n!x~"]
+    assert not any(tokenfile.Encoder._odd(p) for p, x in zip(parts, plain) if x)
+
+
 def test_query_over_all_documents(spark):
     rows = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(queries.op7_token_files(spark, SF)) == expected(rows)

@@ -8,6 +8,7 @@ number of symbols, so that one document can be decoded without its neighbours.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -31,6 +32,8 @@ ROUNDS = 12
 #: A pair is frequent if it makes up this part of the shard, and occurs LEAST times.
 SHARE, LEAST = 1 / 4096, 4
 STOPS = ".,;:!?"
+#: Parts that begin and end with a printable ASCII character, perhaps behind a line end: no white space at their borders.
+PLAIN = r"(?s)^\n?[!-~](.*[!-~])?$"
 #: Characters that are encoded together.
 TOGETHER = 16_000_000
 SHARDS = "shard long, documents long, ids long, file binary"
@@ -221,7 +224,10 @@ class Encoder:
     def _known(self, parts: list[str]) -> list[bytes]:
         """Ids of parts: words after a blank, or words after a line end with that line end."""
         words, older = self.words, self.older
-        missing = [p for p in parts if p not in words]
+        out = list(map(words.get, parts))
+        missing = [p for p, ids in zip(parts, out) if ids is None]
+        if not missing:
+            return out
         new = []
         for p in missing:
             if (ids := older.get(p)) is None:
@@ -236,7 +242,7 @@ class Encoder:
         found = self._word_ids([p[1:] if p[0] == "\n" else " " + p for p in new]) if new else []
         words.update((p, line + i if p[0] == "\n" else i) for p, i in zip(new, found))
         words.update((p, words[p[:-1]] + self.stops[p[-1]]) for p in stopped)
-        out = [words[p] for p in parts]
+        out = list(map(words.__getitem__, parts))
         if len(words) > WORDS_KEPT:
             self.older, self.words = words, {}
         return out
@@ -254,12 +260,13 @@ class Encoder:
             parts = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
             per_text = np.diff(parts.offsets.to_numpy())
             coded = parts.flatten().dictionary_encode()
-            index, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            odd = np.array([self._odd(p) for p in different], bool)
+            index, different = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            odd = ~pc.match_substring_regex(coded.dictionary, PLAIN).to_numpy(zero_copy_only=False)
+            odd[odd] = [self._odd(different[k]) for k in np.flatnonzero(odd).tolist()]
             fine = np.bincount(np.repeat(np.arange(len(plain)), per_text), odd[index], len(plain)) == 0
-            ids = iter(self._known([p for p, o in zip(different, odd) if not o]))
-            ids = [b"" if o else next(ids) for o in odd]
-            size = np.array([len(i) // 4 for i in ids], np.int64)
+            ids = self._known(list(itertools.compress(different, (~odd).tolist())))
+            size = np.zeros(len(different), np.int64)
+            size[~odd] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat, begins = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
             n = size[index]
             ends = np.cumsum(n)
