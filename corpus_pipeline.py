@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm import bpe, jaccard, langid, mixing, suffix
-from tidewise.llm.common import stored, table
+from tidewise.llm.common import bit_map, may_be_in, stored, table
 
 #: Documents of which less than this share speaks for any one language go. Clean ones in a known language score far above.
 LEAST_SCORE = 0.3
+#: Bits of the map of ids that near duplicates touch. Whatever passes it wrongly is dropped by a join.
+ID_BITS = 1 << 24
 
 
 def _packed(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -36,13 +38,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of documents that links join the one with the smallest id stays. Rows with one id and text count as one document;
     documents without an id stay, for they can't be told apart."""
     groups = stored(jaccard.join(docs.select("doc_id", "text")))
-    gone = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("_first"), F.count("*").alias("_rows"))
-    kept = docs.join(gone.where("NOT _first").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = gone.where("_first AND _rows > 1").select("doc_id")
+    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("_first"), F.count("*").alias("_rows"))
+    touched = stored(ids.where("NOT _first OR _rows > 1"))
+    # Rows travel only if their id may be one of these.
+    may = may_be_in(spark.sparkContext.broadcast(bit_map(touched, "doc_id", ID_BITS)), F.col("doc_id").cast("long"))
+    rest = docs.where(~may)
+    kept = docs.where(may).join(touched.where("NOT _first").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = touched.where("_first").select("doc_id")
     if again.isEmpty():
-        return kept
+        return rest.unionByName(kept)
     once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return rest.unionByName(once).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

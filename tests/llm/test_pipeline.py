@@ -61,3 +61,46 @@ def test_odd_rows(spark):
         assert {r.doc_id for r in last} <= {4, 5, None}
     near = C.drop_near_duplicates(spark, df, SF).collect()
     assert Counter(r.doc_id for r in near) == Counter([1, 2, 3, 4, 5, None, None])
+
+
+def _shuffles_of(df, column):
+    """Exchanges of a plan whose rows carry a column, by the text of the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("== Initial Plan ==")[-1].split("\n")
+    return [a for a, b in zip(lines, lines[1:]) if "Exchange" in a and "Reused" not in a and f"{column}#" in b]
+
+
+def test_documents_travel_once_in_the_mixture(spark):
+    rows = [(i, f"a text of {i % 7} words" * (i % 7), None if i % 5 == 0 else f"s{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "struct(doc_id, text) AS whole")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = C.mixing.mix(df, keep=("whole",))
+        assert len(_shuffles_of(mixed, "k_whole")) == 1
+        assert mixed.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_only_touched_documents_travel(spark):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, words(i, 200), "src") for i in range(100)] + [(100, words(0, 200), "src"), (None, words(3, 200), "src"), (101, None, "src")]
+    df = C.stored(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    near = C.drop_near_duplicates(spark, df, SF)
+    assert Counter(r.doc_id for r in near.collect()) == Counter([*range(100), None, 101])
+    moved = C.stored(spark.createDataFrame([(i, t + " tail " + words(500, 100)) if i in (5, 6) else (i, t) for i, t, _ in rows], "doc_id long, text string"))
+    cut = C.suffix.remove(moved)
+    want = test_suffix.brute([tuple(r) for r in moved.collect()])
+    assert sorted((len((r.text or "").encode()) for r in cut.collect())) == sorted(n - m for _, n, m, _, _ in want)
+    for frame in (near, cut):
+        rest = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert rest.lstrip().startswith("Union")  # rows that no key can touch go around the joins
+
+
+def test_bit_map(spark):
+    keys = spark.range(-50, 50).selectExpr("id * 7919 AS k")
+    words = spark.sparkContext.broadcast(C.bit_map(keys, "k", 1 << 20))
+    asked = keys.unionByName(spark.createDataFrame([(None,), (3,)], "k long"))
+    got = asked.select("k", C.may_be_in(words, C.F.col("k")).alias("may")).collect()
+    assert all(r.may == (r.k is not None and r.k % 7919 == 0) for r in got)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.llm.bpe import _slices
-from tidewise.llm.common import parallelism, stored
+from tidewise.llm.common import bit_map, lean, parallelism, stored
 
 WORDS = 5
 #: Link: 100 * intersection >= 75 * union, as a fraction.
@@ -131,13 +131,19 @@ def _entries(frequent, fragments: int):
     by_hash, rank = frequent
 
     def flush(rows):
-        rare_h, rare_n, rare_q, rare_p, freq_h, freq_n, freq_m = (np.concatenate(x) if x else np.empty(0, np.int64) for x in rows)
+        columns = []
+        for x in rows:  # the many small arrays go as soon as they are one
+            columns.append(np.concatenate(x) if x else np.empty(0, np.int64))
+            x.clear()
+        rare_h, rare_n, rare_q, rare_p, freq_h, freq_n, freq_m = columns
         out = []
         order = np.lexsort((rare_n, rare_h))
-        h, n, q, at = rare_h[order].astype(np.uint64), rare_n[order], rare_q[order], rare_p[order]
+        h, n, q, at = rare_h[order].astype(np.uint64, copy=False), rare_n[order], rare_q[order], rare_p[order]
+        del columns, rare_h, rare_n, rare_q, rare_p, order
         if len(h):
             new = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]))
             h, n, q, at = h[new], n[new], q[new], at[new]
+            del new
             f = (h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
             for k, (i, j) in zip(*_runs(f)):
                 part = h[i:j] >> np.uint64(16)
@@ -166,7 +172,7 @@ def _entries(frequent, fragments: int):
                     p = n - _least(n) + 1
                     at = np.searchsorted(by_hash, s)
                     common = by_hash[np.minimum(at, len(by_hash) - 1)] == s if len(by_hash) else np.zeros(n, bool)
-                    rare = s[~common][:p]
+                    rare = s[~common][:p].copy()  # not a view, which would keep the whole set
                     rows[0].append(rare)
                     rows[1].append(np.full(len(rare), node, np.int64))
                     rows[2].append(np.full(len(rare), min(int(np.log(n) / np.log(1.05)), 255), np.uint8))
@@ -275,18 +281,9 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots).distinct())
 
 
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A bit map of the nodes' hashes, of fixed size."""
-    at = F.pmod("node", F.lit(FILTER_BITS))
-    rows = nodes.select(F.shiftright(at, 5).alias("w"), F.pmod(at, F.lit(32)).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("v")).toPandas()
-    words = np.zeros(FILTER_BITS // 32, np.int64)
-    words[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
-    return words
-
-
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, cut, part``: the sets of the given nodes, cut along the order of hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(nodes))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(nodes, "node", FILTER_BITS))
 
     def run(batches):
         words, done = shared.value, set()
@@ -305,7 +302,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 cols = list(zip(*out)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64()))], names=["node", "cut", "part"])
 
-    found = docs.select("_text").mapInArrow(run, "node long, cut int, part array<long>")
+    found = docs.select("_text").mapInArrow(lean(run), "node long, cut int, part array<long>")
     return stored(found.join(nodes, "node", "left_semi").dropDuplicates(["node", "cut"]))
 
 
@@ -346,7 +343,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: i
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    survey = stored(docs.mapInArrow(lambda batches: _survey(batches, seen), DOCS))
+    survey = stored(docs.mapInArrow(lean(lambda batches: _survey(batches, seen)), DOCS))
     known = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"))
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).orderBy(F.desc("c"), "a").limit(FREQUENT).toPandas()
     by_count = often.sort_values(["c", "a"])["a"].to_numpy(np.int64).view(np.uint64)
@@ -359,7 +356,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: i
     def entries(batches):
         yield from _entries(frequent.value, fragments)(batches)
 
-    blobs = docs.select("_text").mapInArrow(entries, "fragment int, hashes binary, nodes binary, more binary")
+    blobs = docs.select("_text").mapInArrow(lean(entries), "fragment int, hashes binary, nodes binary, more binary")
     found = stored(blobs.groupBy("fragment").applyInPandas(lambda key, x: _fragment(key, x, small), FOUND))
     # Both prefixes of a linked pair hold the first shingles that the two share, and these are many.
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum(F.floor(F.col("c") / 2)).alias("met"), F.max(F.col("c") % 2).alias("beside"))

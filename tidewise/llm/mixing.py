@@ -125,14 +125,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     inside = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = sliced.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).drop("_n")
     b = begins.select(F.col("_source").alias("_b"), F.col("_size").alias("_bs"), "source_size", "target", "_rate", "_begin")
+    # Numbers and places by the same columns, none of them null, so that documents travel once.
+    name = {"_name": F.coalesce("_source", F.lit("")), "_none": F.col("_source").isNull()}
+    group = [*name, "_size", "_slice"]
     places = stored(
-        slices.join(b, F.col("_source").eqNullSafe(F.col("_b")) & (F.col("_size") == F.col("_bs"))).select(
-            F.col("_source").alias("_p"), F.col("_size").alias("_ps"), F.col("_slice").alias("_pl"), "source_size", "target", "_rate", (F.col("_begin") + F.col("_rate") * F.col("_before")).alias("_start")
-        )
+        slices.join(b, F.col("_source").eqNullSafe(F.col("_b")) & (F.col("_size") == F.col("_bs")))
+        .withColumns(name)
+        .select(*group, "source_size", "target", "_rate", (F.col("_begin") + F.col("_rate") * F.col("_before")).alias("_start"))
     )
-    turn = Window.partitionBy("_source", "_size", "_slice").orderBy("_id")
-    numbered = base.withColumn("_k", F.row_number().over(turn) - 1)
-    placed = numbered.join(places, F.col("_source").eqNullSafe(F.col("_p")) & (F.col("_size") == F.col("_ps")) & (F.col("_slice") == F.col("_pl")))
+    numbered = base.withColumns(name).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("_id")) - 1)
+    placed = numbered.join(places, group)
     whole = lambda c: F.floor((c + UNIT // 2) / UNIT)
     start = F.col("_start") + F.col("_k") * F.col("_rate")
     copies = (whole(start + F.col("_rate")) - whole(start)).cast("long")
